@@ -7,31 +7,98 @@ production parameters and derives the result columns.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, simhash
+from quillspark.llm import bpe, pii, quality, secrets, simhash, toxicity, url_filter
 
 VOCABULARY = "byte_bpe_50k.json"
+RULES = (
+    url_filter.Rule("allow", "org"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(doc_id: str, folds: int) -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
+
+
+def span_list(spans: str, kinds: tuple[str, ...] | None = None) -> Column:
+    """``kind:start:end`` of the spans of these kinds (None: all), comma-joined."""
+    kept = F.filter(spans, lambda s: s["kind"].isin(*kinds)) if kinds else F.col(spans)
+    return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def of_kind(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs; listed are pages seen with a ``ref=`` tag."""
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(F.col("url").rlike("[?&]ref=")).select(url_filter.canonical_url(F.col("url")).alias("url"))
+    return url_filter.judge(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those 2 bits apart."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), max_bits=2, words=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: pattern spans and the tagger's."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[of_kind("base", k) for k in pii.KINDS], F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from four folds of five."""
+    from quillspark.llm.common import written
+
+    feats = written(quality.features(table(spark, sf_dir, "documents")), "statistics")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    scored = quality.score(feats, quality.fit(quality.labelled(feats, labels, "quality")))
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; lexicons mined from two folds of three."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1).where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label")).distinct()
+    scored = toxicity.score(docs, docs.select("doc_id", "text").join(labels, "doc_id"))
+    held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "posterior")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents; owners are sources, repositories their languages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang").alias("repo"), F.col("source").alias("owner"))
+    found = secrets.find(docs)
+    live = F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live")
+    return found.select("doc_id", *[of_kind("spans", k) for k in secrets.BASE], F.sha2(span_list("spans", secrets.BASE), 256).alias("base_sha256"), span_list("spans").alias("spans"), live)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
+    "op3_pii": op3_pii,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
+    "op9_secrets": op9_secrets,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
