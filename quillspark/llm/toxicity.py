@@ -70,16 +70,16 @@ def token_counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def mine(labelled: DataFrame, size: int = 300, max_rows: int = 20_000, precision: float = 0.9, evidence: float = 25.0) -> list[str]:
+def mine(labelled: DataFrame, size: int = 100, max_rows: int = 20_000, precision: float = 0.9, evidence: float = 40.0) -> list[str]:
     """Up to ``size`` tokens that mark toxic texts, strongest first.
 
     ``labelled (doc_id, text, label)`` are the rows to learn from, of which
-    ``max_rows`` with the smallest id hashes are used.  A token needs the given
+    ``max_rows`` with the smallest id hashes are used, copies once.  A token needs the given
     share of toxic among the documents with it, and twice ``evidence / 2`` nats
     against the overall share.  What only extends a stronger token is left out.
     """
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = written(chosen.select("text", "label"), "toxic-sample")
+    sample = written(chosen.select("text", "label").dropDuplicates(["text", "label"]), "toxic-sample")
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("y")).first()
     if not 0 < total["y"] < total["n"]:
         return []
