@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, pii, quality, secrets, simhash, toxicity, url_filter
+from quillspark.llm import bpe, chat, mips, pii, quality, secrets, simhash, toxicity, url_filter
+from quillspark.llm.common import written
 
 VOCABULARY = "byte_bpe_50k.json"
 RULES = (
@@ -59,10 +60,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[of_kind("base", k) for k in pii.KINDS], F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every fiftieth vector among all others."""
+    return mips.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned from four folds of five."""
-    from quillspark.llm.common import written
-
     feats = written(quality.features(table(spark, sf_dir, "documents")), "statistics")
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
     scored = quality.score(feats, quality.fit(quality.labelled(feats, labels, "quality")))
@@ -79,6 +83,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "posterior")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, read back from the tree."""
+    both = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", both), (-1, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    found = chat.read_back(*chat.tree(rows))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents; owners are sources, repositories their languages."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang").alias("repo"), F.col("source").alias("owner"))
@@ -96,8 +110,10 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_pii": op3_pii,
+    "op4_top_k": op4_top_k,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
+    "op7_chat": op7_chat,
     "op9_secrets": op9_secrets,
     "op10_bpe": op10_bpe,
 }

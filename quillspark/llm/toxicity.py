@@ -70,7 +70,7 @@ def token_counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def mine(labelled: DataFrame, size: int = 100, max_rows: int = 20_000, precision: float = 0.9, evidence: float = 40.0) -> list[str]:
+def mine(labelled: DataFrame, size: int = 150, max_rows: int = 20_000, precision: float = 0.9, evidence: float = 32.0) -> list[str]:
     """Up to ``size`` tokens that mark toxic texts, strongest first.
 
     ``labelled (doc_id, text, label)`` are the rows to learn from, of which
