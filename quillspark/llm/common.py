@@ -64,6 +64,14 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+BREAK = bytes(b if (chr(b).isalnum() or b >= 128) else 32 for b in range(256))
+
+
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased words as UTF-8; white space and ASCII punctuation separate."""
+    return text.lower().encode("utf-8", "replace").translate(BREAK).split()
+
+
 def keyed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names.
 

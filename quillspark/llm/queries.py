@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, mips, pii, quality, secrets, simhash, toxicity, url_filter
+from quillspark.llm import bpe, chat, decontam, mips, pii, quality, secrets, simhash, toxicity, url_filter
 from quillspark.llm.common import written
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -93,6 +93,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the evidence for each pair."""
+    found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "cosine", "common", "answer")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents; owners are sources, repositories their languages."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang").alias("repo"), F.col("source").alias("owner"))
@@ -114,6 +120,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_chat": op7_chat,
+    "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_bpe": op10_bpe,
 }

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map, keyed, texts, written
+from quillspark.llm.common import arrow_map, keyed, texts, words_of, written
 
 #: Whole words, lower case.
 LEXICONS = (
@@ -36,15 +36,9 @@ MINED = 6
 HITS = len(LEXICONS) + MINED
 PATTERNS = ("two kinds of hits", "one word in fifty", "shouting")
 VOTERS = HITS + len(PATTERNS)
-BREAK = bytes(b if (chr(b).isalnum() or b >= 128) else 32 for b in range(256))
 SHORTEST, LONGEST = 3, 6
 
 
-def words_of(text: str) -> list[bytes]:
-    """Lower-cased words as UTF-8; ASCII punctuation separates."""
-    return text.lower().encode("utf-8", "replace").translate(BREAK).split()
-
-
 def starts_of(word: bytes) -> list[str]:
     """The beginnings of 3 to 6 letters that a mined lexicon may hold, and the word."""
     w = word.decode("utf-8", "replace")
