@@ -78,7 +78,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents; lexicons mined from two folds of three."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1).where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label")).distinct()
-    scored = toxicity.score(docs, docs.select("doc_id", "text").join(labels, "doc_id"))
+    scored = toxicity.score(docs, labels)
     held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "posterior")
 

@@ -64,16 +64,20 @@ def token_counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def mine(labelled: DataFrame, size: int = 150, max_rows: int = 20_000, precision: float = 0.9, evidence: float = 32.0) -> list[str]:
+def mine(docs: DataFrame, labels: DataFrame, size: int = 150, max_rows: int = 20_000, precision: float = 0.9, evidence: float = 32.0) -> list[str]:
     """Up to ``size`` tokens that mark toxic texts, strongest first.
 
-    ``labelled (doc_id, text, label)`` are the rows to learn from, of which
-    ``max_rows`` with the smallest id hashes are used, copies once.  A token needs the given
-    share of toxic among the documents with it, and twice ``evidence / 2`` nats
-    against the overall share.  What only extends a stronger token is left out.
+    ``labels (doc_id, label)`` are the rows to learn from.  About ``max_rows``
+    of them, those with the smallest id hashes, are looked up in ``docs
+    (doc_id, text)``; being that few narrow rows, they are broadcast.  Copies
+    count once.  A token needs the given share of toxic among the documents
+    with it, and twice ``evidence / 2`` nats against the overall share.  What
+    only extends a stronger token is left out.
     """
-    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = written(chosen.select("text", "label").dropDuplicates(["text", "label"]), "toxic-sample")
+    known = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", "label").distinct()
+    share = min(1.0, max_rows / max(1, known.count()))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label").dropDuplicates(["text", "label"]), "toxic-sample")
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("y")).first()
     if not 0 < total["y"] < total["n"]:
         return []
@@ -244,7 +248,7 @@ def fit_labels(votes: np.ndarray, counts: np.ndarray, known: np.ndarray | None =
 
 def label_model(found: DataFrame, labels: DataFrame) -> LabelModel:
     """Fit on the vote patterns of the whole corpus and ``labels (doc_id, label)``."""
-    some = found.select("doc_id", "votes").join(labels.select("doc_id", "label").distinct(), "doc_id")
+    some = found.select("doc_id", "votes").join(labels.where("label in (0, 1)").select("doc_id", "label").distinct(), "doc_id")
     all_rows = found.groupBy("votes").agg(F.count("*").alias("n"))
     with_label = some.groupBy("votes", "label").agg(F.count("*").alias("n"))
     total = {r["votes"]: r["n"] for r in all_rows.collect()}
@@ -293,16 +297,17 @@ def train(found: DataFrame, model: LabelModel, steps: int = 8, ridge: float = 1.
     return w
 
 
-def score(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, votes, posterior, score)``: the whole method over ``df``.
 
-    ``labelled (doc_id, text, label)`` are the rows that lexicons may be mined
-    from (label 0 or 1); none: only the fixed lexicons count.  Empty and null
+    ``labels (doc_id, label)`` are the rows that may be learned from (label 0
+    or 1); none: only the fixed lexicons count.  Empty and null
     texts have no votes and a low score; repeated rows are each scored; an
     empty table has an empty result.
     """
-    found = written(examine(df, lexicon(mine(labelled)), id_col, text_col), "votes")
-    model = label_model(found, labelled)
+    docs = keyed(df, doc_id=id_col, text=text_col)
+    found = written(examine(docs, lexicon(mine(docs, labels))), "votes")
+    model = label_model(found, labels)
     w = train(found, model)
 
     def rows(batch):
