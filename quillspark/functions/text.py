@@ -87,7 +87,7 @@ def has_issue(score: Column, comment: Column) -> Column:
 def judge_score(report: Column) -> Column:
     """The first ``n/10`` of a report, at most 10; null without one."""
     found = F.regexp_extract(report, r"(\d{1,2})\s*/\s*10", 1)
-    return F.least(F.nullif(found, F.lit("")).cast("int"), F.lit(10))
+    return F.when(found != "", F.least(found.cast("int"), F.lit(10)))
 
 
 def judge_comment(report: Column) -> Column:

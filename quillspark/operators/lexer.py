@@ -49,7 +49,7 @@ def attributes(raw: Column) -> Column:
     inside = F.regexp_extract(raw, rf"(?s)^<{NAME}(.*?)/?>$", 1)
     part = [F.regexp_extract_all(inside, F.lit(ATTRIBUTE), g) for g in (1, 2, 3, 4)]
     zipped = F.arrays_zip(*[p.alias(f"g{i}") for i, p in enumerate(part)])
-    return F.transform(zipped, lambda z: F.struct(z["0"].alias("name"), F.concat(z["1"], z["2"], z["3"]).alias("value")))
+    return F.transform(zipped, lambda z: F.struct(z["g0"].alias("name"), F.concat(z["g1"], z["g2"], z["g3"]).alias("value")))
 
 
 def signature(attrs: Column) -> Column:

@@ -61,7 +61,7 @@ def conflicts(reasons: DataFrame) -> DataFrame:
     ``reasons (file, seq, reason)``; ``expected`` is the first rendering seen.
     """
     terms = F.arrays_zip(*[F.regexp_extract_all("reason", F.lit(MISSED), g).alias(n) for g, n in ((1, "term"), (2, "dst"))])
-    each = reasons.select("file", "seq", F.posexplode(terms).alias("at", "z")).select("file", "seq", "at", F.col("z.0").alias("term"), F.col("z.1").alias("dst"))
+    each = reasons.select("file", "seq", F.posexplode(terms).alias("at", "z")).select("file", "seq", "at", "z.term", "z.dst")
     found = each.groupBy("term").agg(F.min_by("dst", F.struct("file", "seq", "at")).alias("expected"), F.count_distinct("file").alias("n_files"), F.count("*").alias("hits"))
     return found.where("n_files > 1")
 

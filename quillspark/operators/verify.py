@@ -8,6 +8,7 @@ from xml.parsers import expat
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed by the check's meaning: bare ``<p>`` isn't counted, ``<p `` is.
 KEY_TAGS = r"<p |<div |<em>|</em>|<strong>|</strong>|<a |<h[1-6] "
@@ -24,7 +25,7 @@ def parse_error(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def parse_errors(texts: pd.Series) -> pd.Series:
     return texts.map(parse_error)
 
