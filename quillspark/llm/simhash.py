@@ -136,14 +136,186 @@ def near_duplicates(df: DataFrame, max_bits: int = 2, segments: int = 5, bucket:
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(df: DataFrame, max_bits: int = 2, segments: int = 5, bucket: int = 64, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+# ---- by similarity ----
+
+SHINGLE = 5
+SKETCH = 2048  # coordinates that shingles are dealt over before the projection
+SEGMENT_BITS = 24
+SEGMENTS = 128
+CENTERS = 2
+FEW = 8  # members of a key that are compared with each other
+DOUBT = 0.07  # estimates this close to the limit are settled by the shingles themselves
+
+
+def planes(seed: int = 11) -> np.ndarray:
+    """Random signs, one column for each bit of a wide fingerprint."""
+    return np.random.default_rng(seed).integers(0, 2, (SKETCH, SEGMENTS * SEGMENT_BITS), np.int8).astype(np.float32) * 2 - 1
+
+
+def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """Different shingles of a whole text by their hashes; the words alone if there are fewer."""
+    found = (text or "").encode("utf-8", "replace").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)) if len(found) >= words else iter([b" ".join(found)])
+    n = max(1, len(found) - words + 1)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, [42] * n), np.uint64, n))
+
+
+def wide_prints(texts: list[str | None], signs: np.ndarray, step: int = 256) -> tuple[list[bytes], list[int]]:
+    """Wide fingerprints and the number of different shingles of whole texts.
+
+    A shingle adds a sign to one coordinate of a sketch, and each bit says on
+    which side of a random plane the sketch lies.
+    """
+    out, sizes = [], []
+    for i in range(0, len(texts), step):
+        hashes = [shingle_hashes(t) for t in texts[i : i + step]]
+        n = [len(h) for h in hashes]
+        h = np.concatenate(hashes)
+        at = np.repeat(np.arange(len(n)), n) * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64)
+        sign = ((h >> np.uint64(63)).astype(np.float32) * 2) - 1
+        sketch = np.bincount(at, sign, len(n) * SKETCH).reshape(len(n), SKETCH).astype(np.float32)
+        out += [row.tobytes() for row in np.packbits(sketch @ signs > 0, axis=1, bitorder="little")]
+        sizes += n
+    return out, sizes
+
+
+def likeness(differing: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jaccard similarity that so many differing bits stand for."""
+    cosine = np.cos(np.pi * differing / (SEGMENTS * SEGMENT_BITS))
+    shared = cosine * np.sqrt(n * m)
+    return shared / np.maximum(n + m - shared, 1e-9)
+
+
+def chained(a: np.ndarray, b: np.ndarray, start: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """Pigeonring test of fingerprints (rows of bytes) from a shared segment on.
+
+    Differences of the first l segments from ``start`` on are held against l
+    times the budget of a segment and four deviations of such a sum, for l of
+    4, 16 and 64; what passes these few goes on to the full distance.
+    """
+    width = SEGMENT_BITS // 8
+    ok = np.ones(len(a), bool)
+    for n in (4, 16, 64):
+        at = (start[:, None] * width + np.arange(n * width)) % (SEGMENTS * width)
+        rows = np.flatnonzero(ok)
+        diff = np.bitwise_count(np.take_along_axis(a[rows], at[rows], 1) ^ np.take_along_axis(b[rows], at[rows], 1)).sum(1, dtype=np.int64)
+        share = allowed[rows] / (SEGMENTS * SEGMENT_BITS)
+        bits = n * SEGMENT_BITS
+        ok[rows] = diff <= bits * share + 4 * np.sqrt(bits * share * (1 - share))
+    return ok
+
+
+def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``(doc_id, cls, component_id)``: texts whose five-word shingles are that similar.
+
+    Texts with equal fingerprints are one class.  Classes that share one of the
+    128 segments of 24 bits are candidates: up to eight under a key are all
+    compared, more are compared with two of them that come first in random
+    orders, never all with each other.  Candidates pass the pigeonring test, then the
+    full distance, from which the similarity is estimated; where the estimate
+    is near the limit, the shingles themselves decide.  At a similarity of 0.8
+    a pair shares a segment with probability 0.92, at 0.85 with 0.99.  Nulls,
+    copies and empty tables as in :func:`near_duplicates`.  ``row_col`` names a
+    column that tells rows of a written table apart; else one is written.
+    """
+    if row_col:
+        src = keyed(df, doc_id=id_col, text=text_col, row=row_col)
+    else:
+        src = written(keyed(df, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+    def rows(batch):
+        fps, n = wide_prints(batch.column("text").to_pylist(), _signs())
+        cls = [signed(xxhash.xxh64_intdigest(f, k)) for f, k in zip(fps, n, strict=True)]
+        return {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "cls": pa.array(cls, pa.int64()), "n": pa.array(n, pa.int32()), "fp": pa.array(fps, pa.binary())}
+
+    prints = written(arrow_map(src, rows, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, row long, cls long, n int, fp binary"), "wide-prints")
+    firsts = prints.groupBy("cls").agg(F.min("row").alias("row"), F.min("doc_id").alias("first"))
+    firsts = written(firsts, "wide-firsts")
+    classes = written(prints.join(firsts.select("row"), "row", "left_semi").select("cls", "row", "n", "fp"), "wide-classes")
+
+    def keys_of(batch):
+        fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        parts = fps.reshape(batch.num_rows, SEGMENTS, 3).astype(np.int64)
+        key = parts[:, :, 0] | parts[:, :, 1] << 8 | parts[:, :, 2] << 16 | np.arange(SEGMENTS)[None, :] << 24
+        return {"cls": pa.array(np.repeat(batch.column("cls").to_numpy(), SEGMENTS)), "key": pa.array(key.ravel())}
+
+    keys = arrow_map(classes.where("n > 0").select("cls", "fp"), keys_of, "cls long, key long")
+    # a key's members are gathered by map-side partial minima, not as a list:
+    # its smallest under several orders, and all of them only where they are few
+    orders = [F.min(F.struct(F.xxhash64("cls", F.lit(i)), "cls"))["cls"].alias(f"c{i}") for i in range(CENTERS)]
+    met = written(keys.groupBy("key").agg(F.count("*").alias("n"), *orders).where("n > 1"), "wide-keys")
+    member = keys.join(met, "key")
+    some = member.select("key", "cls", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(CENTERS)]))).alias("other"), "n")
+    few = member.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("cls").alias("all"))
+    every = few.select("key", F.explode("all").alias("cls"), "all").select("key", "cls", F.explode("all").alias("other"))
+    pair = every.where("cls < other").select(F.col("cls").alias("a"), F.col("other").alias("b"), F.shiftright("key", 24).cast("int").alias("start"))
+    star = some.where((F.col("n") > FEW) & (F.col("cls") != F.col("other"))).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b"), F.shiftright("key", 24).cast("int").alias("start"))
+    pairs = written(pair.union(star).groupBy("a", "b").agg(F.min("start").alias("start")), "wide-pairs")
+    left = classes.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("fp").alias("x"))
+    right = classes.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("fp").alias("y"))
+
+    def near(batch):
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
+        n, m = (batch.column(c).to_numpy().astype(float) for c in ("n", "m"))
+        low = max(0.05, least - DOUBT)
+        cosine = np.clip(low / (1 + low) * (n + m) / np.sqrt(n * m), -1, 1)
+        allowed = np.arccos(cosine) / np.pi * SEGMENTS * SEGMENT_BITS
+        ok = np.flatnonzero(chained(a, b, batch.column("start").to_numpy(), allowed))
+        guess = likeness(np.bitwise_count(a[ok] ^ b[ok]).sum(1, dtype=np.int64), n[ok], m[ok])
+        ok, guess = ok[guess >= low], guess[guess >= low]
+        small = np.minimum(n[ok], m[ok]) < 50  # few shingles make a rough estimate
+        return {"a": batch.column("a").take(pa.array(ok)), "b": batch.column("b").take(pa.array(ok)), "sure": pa.array((guess >= least + DOUBT) & ~small)}
+
+    close = written(arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "start", "n", "m", "x", "y"), near, "a long, b long, sure boolean"), "wide-close")
+    doubtful = close.where("not sure").select("a", "b")
+    asked = written(doubtful.select(F.col("a").alias("cls")).union(doubtful.select("b")).distinct().join(classes.select("cls", "row"), "cls"), "wide-asked")
+
+    def shingles(batch):
+        return {"cls": batch.column("cls"), "h": pa.array([shingle_hashes(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())}
+
+    held = written(arrow_map(src.select("row", "text").join(asked, "row").select("cls", "text"), shingles, "cls long, h binary"), "wide-shingles")
+
+    def exact(batch):
+        kept = []
+        for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if both >= least * (len(a) + len(b) - both):
+                kept.append(i)
+        at = pa.array(kept, pa.int64())
+        return {"a": batch.column("a").take(at), "b": batch.column("b").take(at)}
+
+    settled = doubtful.join(held.select(F.col("cls").alias("a"), F.col("h").alias("x")), "a").join(held.select(F.col("cls").alias("b"), F.col("h").alias("y")), "b").select("a", "b", "x", "y")
+    found = components(close.where("sure").select("a", "b").union(arrow_map(settled, exact, "a long, b long")))
+    rooted = written(firsts.join(found, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root")), "wide-rooted")
+    names = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "wide-names")
+    named = written(rooted.join(names, "root").select("cls", "component_id"), "wide-named")
+    return prints.select("doc_id", "cls").join(named, "cls", "left").select("doc_id", "cls", "component_id")
+
+
+_SIGNS: list[np.ndarray] = []
+
+
+def _signs() -> np.ndarray:
+    if not _SIGNS:
+        _SIGNS.append(planes())
+    return _SIGNS[0]
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float | None = 0.8, **options) -> DataFrame:
     """The rows of ``df`` that stay: of each component one row with its smallest id.
 
-    Columns are those of ``df``.  Among rows that repeat that id, the first one
-    written stays; a component whose ids are all null keeps one row.
+    Components are those of :func:`similar` at ``least``, or with None those of
+    :func:`near_duplicates` with ``options``.  Columns are those of ``df``.
+    Among rows that repeat that id, the first one written stays; a component
+    whose ids are all null keeps one row.
     """
     row = "_simhash_row"
     whole = written(df.withColumn(row, F.monotonically_increasing_id()), "whole")
-    found = near_duplicates(whole.select(F.struct(F.col(f"`{id_col}`").isNull().alias("no"), F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row")).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), max_bits, segments, bucket, words)
+    keyed_rows = whole.select(F.struct(F.col(f"`{id_col}`").isNull().alias("no"), F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row")).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found = near_duplicates(keyed_rows, **options) if least is None else similar(keyed_rows.withColumn("row", F.col("doc_id.row")), least, row_col="row")
     kept = written(found.groupBy("component_id").agg(F.lit(1).alias("one")).select(F.col("component_id.row").alias(row)), "kept")
-    return whole.join(kept, row, "left_semi").drop(row)
+    # the same plan at every size: ids and rows meet sorted, whatever fits where
+    return whole.join(kept.hint("merge"), row, "left_semi").drop(row)
