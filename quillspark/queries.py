@@ -515,7 +515,7 @@ ORACLE_SQL = {
     "lex_roundtrip_violations": f"WITH {_TOK} SELECT doc_id FROM raw_tok JOIN pages ON page_id = doc_id WHERE array_to_string(ts, '') <> html",
     "attr_signature": f"""WITH {_TOK}, a AS (SELECT doc_id, pos, name, regexp_extract(raw, {_Q("(?s)^<" + _NAME + "(.*?)/?>$")}, 1) AS x FROM tok WHERE kind IN ('open', 'void')),
         z AS (SELECT doc_id, pos, name, list_zip(regexp_extract_all(x, {_Q(_ATTR)}, 1), regexp_extract_all(x, {_Q(_ATTR)}, 2), regexp_extract_all(x, {_Q(_ATTR)}, 3), regexp_extract_all(x, {_Q(_ATTR)}, 4)) AS zs FROM a),
-        kv AS (SELECT doc_id, pos, name, list_sort(list_transform(list_filter(zs, lambda q: q[1] NOT IN {_IN(dims.LANG_ATTRS)}), lambda q: {{'k': q[1], 'v': q[2] || q[3] || q[4]}})) AS kv FROM z)
+        kv AS (SELECT doc_id, pos, name, list_sort(list_transform(list_filter(zs, lambda q: q[1] NOT IN {_IN(dims.LANG_ATTRS)}), lambda q: {{'k': q[1], 'v': concat(q[2], q[3], q[4])}})) AS kv FROM z)
         SELECT doc_id, pos, name, coalesce(array_to_string(list_transform(kv, lambda q: q.k || '=' || q.v), ';'), '') AS signature FROM kv""",
     "block_tag_counts": f"WITH {_TOK} SELECT name, count(*) FILTER (kind = 'open') AS n_open, count(*) FILTER (kind = 'close') AS n_close FROM tok WHERE name IN {_IN(dims.BLOCK)} GROUP BY ALL",
     "unit_islands": f"""WITH {_TOK}, m AS (SELECT *, {_BOUND} AS b, sum({_BOUND}::INT) OVER w AS island, sum(CASE WHEN name IN {_IN(dims.LITERAL_BLOCKS)} THEN CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END ELSE 0 END) OVER w AS depth FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
