@@ -25,7 +25,7 @@ from quillspark.llm.common import arrow_map, keyed, texts
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = 1 << 62
 #: Pieces that a Python worker keeps encoded; when full, it starts afresh.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 200_000
 SHORT = 64
 
 

@@ -26,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
     no link.  No links: no rows.  A node with very many links is met by
     map-side minima and by joins that adaptive execution can split.
     """
-    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null").distinct(), "links")
+    whole = links.where("a is not null and b is not null")  # least and greatest would skip a null
+    edges = written(whole.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     maps: list[DataFrame] = []
     live = edges.where("a <> b")

@@ -124,4 +124,48 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _rules_case(what: str) -> str:
+    """The first rule that fits, longest first."""
+    cases = [f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN '{getattr(r, what)}'" for r in sorted(RULES, key=lambda r: -len(r.text))]
+    return f"CASE {' '.join(cases)} END"
+
+
+_PARTS = _quoted(url_filter.PARTS)
+_HOST = f"translate(coalesce(regexp_extract(url, {_PARTS}, 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}')"
+_PATH = f"coalesce(regexp_extract(url, {_PARTS}, 2), '')"
+
+
+def _escaped_sql(text: str) -> str:
+    r"""Backslashes doubled, then ``\.`` after the first sign of each control string."""
+    out = f"replace({text}, chr(92), chr(92) || chr(92))"
+    for c in ("<|", "</s>", "<s>", "|>", "[INST]", "[/INST]"):
+        out = f"replace({out}, {_quoted(c)}, {_quoted(c[0])} || chr(92) || {_quoted('.' + c[1:])})"
+    return out
+
+
+#: DuckDB SQL where it can express the whole result.
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": f"""
+        WITH p AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path FROM pages),
+        r AS (SELECT *, {_rules_case("text")} AS rule, {_rules_case("verdict")} AS ruled, host || rtrim(path, '/') AS c FROM p),
+        l AS (SELECT DISTINCT c FROM r WHERE regexp_matches(url, '[?&]ref='))
+        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN l.c IS NULL THEN 'allow' ELSE 'block' END) AS verdict, rule IS NULL AND l.c IS NOT NULL AS listed
+        FROM r LEFT JOIN l ON r.c = l.c""",
+    "op4_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s)
+        SELECT query_id, CAST(r AS INT) AS rank, vec_id, score FROM k WHERE r <= 5""",
+    "op7_chat": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+        e AS (SELECT *, length({_escaped_sql("role")}) + length({_escaped_sql("text")}) + {len(chat.OPEN) + len(chat.MID) + len(chat.END)} AS n FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+          CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+}

@@ -207,6 +207,42 @@ def chained(a: np.ndarray, b: np.ndarray, start: np.ndarray, allowed: np.ndarray
     return ok
 
 
+def _compared(batches):
+    """Pairs of members of each key, from rows sorted by key.
+
+    Each of the first ``FEW`` members is paired with all before it, each later
+    one with the first ``CENTERS`` only; what is held doesn't grow with a key.
+    """
+    tail_key, tail = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last key's first members
+    seen = 0  # members of the last key so far
+    for batch in batches:
+        key, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
+        fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        if len(tail) and len(key) and key[0] == tail_key[0]:
+            before, known = seen, tail
+        else:
+            before, known = 0, np.zeros(0, np.int64)
+        starts = np.flatnonzero(fresh)
+        run = np.cumsum(fresh) - 1
+        place = np.arange(len(key)) - starts[run] + np.where(run == 0, before, 0)
+        a, b, k = [], [], []
+        for j in range(FEW - 1):  # partner number j of every member behind it
+            rows = np.flatnonzero((place > j) & ((place < FEW) | (j < CENTERS)))
+            at = starts[run[rows]] + j - np.where(run[rows] == 0, before, 0)
+            inside = at >= 0
+            partner = np.where(inside, cls[np.maximum(at, 0)], known[j] if j < len(known) else 0)
+            a.append(np.minimum(partner, cls[rows]))
+            b.append(np.maximum(partner, cls[rows]))
+            k.append(key[rows] >> 24)
+        if len(key):
+            last = starts[-1]
+            first = last == 0 and before > 0
+            tail = np.concatenate([known, cls[last:]])[:FEW] if first else cls[last : last + FEW].copy()
+            seen = len(key) - last + (before if first else 0)
+            tail_key = key[-1:].copy()
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(k).astype(np.int32))], ["a", "b", "start"])
+
+
 def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """``(doc_id, cls, component_id)``: texts whose five-word shingles are that similar.
 
@@ -242,17 +278,9 @@ def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col:
         return {"cls": pa.array(np.repeat(batch.column("cls").to_numpy(), SEGMENTS)), "key": pa.array(key.ravel())}
 
     keys = arrow_map(classes.where("n > 0").select("cls", "fp"), keys_of, "cls long, key long")
-    # a key's members are gathered by map-side partial minima, not as a list:
-    # its smallest under several orders, and all of them only where they are few
-    orders = [F.min(F.struct(F.xxhash64("cls", F.lit(i)), "cls"))["cls"].alias(f"c{i}") for i in range(CENTERS)]
-    met = written(keys.groupBy("key").agg(F.count("*").alias("n"), *orders).where("n > 1"), "wide-keys")
-    member = keys.join(met, "key")
-    some = member.select("key", "cls", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(CENTERS)]))).alias("other"), "n")
-    few = member.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("cls").alias("all"))
-    every = few.select("key", F.explode("all").alias("cls"), "all").select("key", "cls", F.explode("all").alias("other"))
-    pair = every.where("cls < other").select(F.col("cls").alias("a"), F.col("other").alias("b"), F.shiftright("key", 24).cast("int").alias("start"))
-    star = some.where((F.col("n") > FEW) & (F.col("cls") != F.col("other"))).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b"), F.shiftright("key", 24).cast("int").alias("start"))
-    pairs = written(pair.union(star).groupBy("a", "b").agg(F.min("start").alias("start")), "wide-pairs")
+    # members of a key stand together in a random order that is the same for all keys
+    dealt = keys.withColumn("order", F.xxhash64("cls")).repartition("key").sortWithinPartitions("key", "order").select("key", "cls")
+    pairs = written(dealt.mapInArrow(_compared, "a long, b long, start int").groupBy("a", "b").agg(F.min("start").alias("start")), "wide-pairs")
     left = classes.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("fp").alias("x"))
     right = classes.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("fp").alias("y"))
 
