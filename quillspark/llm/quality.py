@@ -52,7 +52,7 @@ def statistics(text: str | None) -> list[float]:
         math.log1p(len(words)),
         math.log((n + 1) / w),
         math.log((len(set(words)) + 1) / (w + 1)),
-        _rate(common - 1, w),
+        _rate(max(0, common - 1), w),
         _rate(sum(map(eq, words, words[1:])), w),
         math.log((pairs + 1) / w),
         _rate(len(lines) - len(set(lines)), len(lines)),

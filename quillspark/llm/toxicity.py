@@ -194,7 +194,7 @@ def _tree(fired: np.ndarray, weight: np.ndarray) -> tuple[int, ...]:
     """
     v = fired.shape[1]
     info = np.zeros((v, v))
-    total = weight.sum()
+    total = max(weight.sum(), 1e-9)
     for y in (0, 1):
         w = weight[:, y]
         n = max(w.sum(), 1e-9)
@@ -204,7 +204,7 @@ def _tree(fired: np.ndarray, weight: np.ndarray) -> tuple[int, ...]:
             for b in (0, 1):
                 joint = both if a and b else one[:, None] - both if a else one[None, :] - both if b else 1 - one[:, None] - one[None, :] + both
                 joint = np.clip(joint, 1e-9, 1)
-                marginal = np.outer(one if a else 1 - one, one if b else 1 - one)
+                marginal = np.clip(np.outer(one if a else 1 - one, one if b else 1 - one), 1e-9, 1)
                 info += n / total * joint * np.log(joint / marginal)
     parent, inside = [-1] * v, [0]
     while len(inside) < v:
