@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +59,25 @@ def occurrences(text: str, words: set[str]) -> list[tuple[int, int, str]]:
 
 def plain(text: str) -> str:
     return entities.unescape("".join(t.raw for t in lex(text) if t.kind == "text"))
+
+
+def has_any(block, words: list[str]):
+    """Whether a block's plain prose still has one of the words, as a Column."""
+    return F.regexp_like(F.lower(prose_only(block)), F.lit(r"(?U)(?<!\w)(?:" + "|".join(re.escape(w) for w in words) + r")(?!\w)")) if words else F.lit(False)
+
+
+def sentence_spans(pairs: DataFrame, language: str = "english", extra: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, start, end, word, sentence)`` to rewrite: sentences of ``trad`` with leftovers."""
+    words = find(pairs, language, extra).groupBy("doc_id").agg(F.array_sort(F.collect_set("word")).alias("words"))
+
+    def rows(batches):
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(5)]
+            for doc, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for a, b, word in occurrences(text or "", set(found)):
+                    for col, v in zip(cols, (doc, a, b, word, text[a:b]), strict=True):
+                        col.append(v)
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "start", "end", "word", "sentence"])
+
+    return pairs.select("doc_id", "trad").join(words, "doc_id").mapInArrow(rows, "doc_id long, start int, end int, word string, sentence string")

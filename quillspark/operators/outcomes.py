@@ -90,3 +90,14 @@ def state(log: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("fine"), F.col("rel")))).alias("done"),
         F.map_from_entries(F.array_compact(F.collect_list(F.when(~F.col("fine"), F.struct("rel", "reason"))))).alias("failed"),
     )
+
+
+def dropped(log: DataFrame, rels: DataFrame, seq: int) -> DataFrame:
+    """Tombstones for all units of ``rels (rel)``, to be appended to the log."""
+    now = latest(log).join(rels.select("rel").distinct(), "rel", "left_semi")
+    return now.select("rel", "idx", "orig_hash", F.lit("drop").alias("status"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("text"), F.lit(seq).cast("long").alias("seq"))
+
+
+def read_original(originals: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(rel, orig)``: the untouched original, or the present text where none was kept."""
+    return targets.join(originals.withColumnRenamed("text", "kept"), "rel", "left").select("rel", F.coalesce("kept", "text").alias("orig"))

@@ -71,3 +71,22 @@ def scored(checked: DataFrame, names: tuple[str, ...] = CHECKS) -> DataFrame:
 def health(scored_pairs: DataFrame, by: str) -> DataFrame:
     """Documents, passing ones and average score of each group."""
     return scored_pairs.groupBy(by).agg(F.count("*").alias("checked"), F.count_if("passed").alias("n_passed"), F.sum("score").alias("score_sum"))
+
+
+def fragment_error(text: str) -> str | None:
+    """What keeps a fragment from being well-formed; entities needn't be known."""
+    error = parse_error(f"<r>{text}</r>")
+    return None if error and "undefined entity" in error else error
+
+
+def full(pairs: DataFrame, cfg: dict | None = None, code: str = "it", hints: tuple[str, ...] = ()) -> DataFrame:
+    """All nine checks: those of :func:`checks`, well-formedness and structure.
+
+    ``struct_reason`` holds the first three defects of a pair.
+    """
+    from quillspark.operators.diff import defects
+
+    found = defects(pairs, cfg).groupBy("doc_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("seq", "detail"))), 1, 3), lambda d: d["detail"]), "; ").alias("struct_reason"))
+    formed = pairs.select("doc_id", parse_errors("trad").isNull().alias("xhtml"))
+    all_checks = checks(pairs, code, hints).join(formed, "doc_id").join(found, "doc_id", "left").withColumn("struct", F.col("struct_reason").isNull())
+    return scored(all_checks, ("xhtml", *CHECKS, "struct"))

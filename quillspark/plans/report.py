@@ -47,3 +47,16 @@ def measured(results: DataFrame) -> DataFrame:
     """
     n = F.count("*")
     return results.agg(n.alias("units"), (F.count_if((F.col("status") == "ok") & (F.col("attempts") == 1)) / n).alias("first"), (F.count_if(F.col("status") == "ok") / n).alias("final"))
+
+
+def books(spine: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
+    """``(slug, files, n_done, n_failed)`` of every book; each file counts once."""
+    flag = lambda df, name: df.select("slug", "rel").distinct().withColumn(name, F.lit(True))
+    all_files = spine.select("slug", "rel").distinct().join(flag(done, "d"), ["slug", "rel"], "left").join(flag(failed, "f"), ["slug", "rel"], "left")
+    return all_files.groupBy("slug").agg(F.count("*").alias("files"), F.count("d").alias("n_done"), F.count("f").alias("n_failed"))
+
+
+def log_lines(records: DataFrame) -> DataFrame:
+    """Records as lines for people: time, file, status, then what else is known."""
+    rest = F.concat_ws(" ", F.when(F.col("score").isNotNull(), F.concat(F.lit("score="), "score")), F.when(F.col("model").isNotNull(), F.concat(F.lit("model="), "model")))
+    return records.select(F.concat_ws(" ", F.concat(F.lit("["), "ts", F.lit("]")), "file", "status", rest).alias("line"))

@@ -190,9 +190,21 @@ def blamed_units(spark, sf_dir):
     return diff.blamed_units(diff.defects(p), segment.units(p, (), "doc_id", "trad"))
 
 
+def verify_full(spark, sf_dir):
+    """All nine checks of every pair, structure included."""
+    return verify.full(page_pairs(spark, sf_dir), hints=("ad",)).select("doc_id", "xhtml", "struct", "struct_reason", "passed", "score", "reasons")
+
+
 # ---- text and terms ----
 
 
+def leftover_sentences(spark, sf_dir):
+    """Sentences of half documents that hold a word of the whole one's language."""
+    d = table(spark, sf_dir, "documents")
+    trad = F.expr("left(text, cast(floor(length(text) / 2) as int))")
+    return leftovers.sentence_spans(d.select("doc_id", F.col("text").alias("orig"), trad.alias("trad")), extra=EXTRA_WORDS)
+
+
 def sentences(spark, sf_dir):
     """Sentences of every document."""
     return leftovers.sentence_table(table(spark, sf_dir, "documents"))
@@ -369,6 +381,37 @@ def requeue_unknown(spark, sf_dir):
     return outcomes.requeue(done, asked, spine)[2]
 
 
+def dropped_units(spark, sf_dir):
+    """Tombstones for the files of three sources."""
+    rels = spark.createDataFrame([("src1",), ("src2",), ("src2",), ("none",)], "rel string")
+    return outcomes.dropped(_log(spark, sf_dir), rels, 10**9).select("rel", "idx", "orig_hash", "status", "seq")
+
+
+def read_original(spark, sf_dir):
+    """Original texts, or present ones where none was kept."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rel"), "text")
+    kept = d.where("rel % 3 <> 0").select("rel", F.concat(F.lit("o:"), "text").alias("text"))
+    return outcomes.read_original(kept, d).select("rel", F.md5("orig").alias("orig_md5"))
+
+
+def books_progress(spark, sf_dir):
+    """Files, finished and failing ones of each book."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("slug"), F.col("doc_id").alias("rel"))
+    return report.books(d, d.where("rel % 3 = 0"), d.where("rel % 7 = 1"))
+
+
+def log_lines(spark, sf_dir):
+    """Records as lines of text."""
+    r = _records(spark, sf_dir).withColumns({"ts": F.lit("2020-01-01T00:00:00"), "file": F.concat("slug", F.lit(".xhtml")), "status": F.lit("ok")})
+    return report.log_lines(r)
+
+
+def judge_stub(spark, sf_dir):
+    """Scores of a judge that always says the same."""
+    p = page_pairs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("rel"), "orig", "trad")
+    return client.judge_pairs(p, {}, lambda prompt, **_: f"{len(prompt) % 11}/10 | note")
+
+
 def done_state(spark, sf_dir):
     """Finished and failing files, as one row."""
     s = outcomes.state(_log(spark, sf_dir))
@@ -422,11 +465,12 @@ QUERIES = {
         lex_token_kinds, lex_offsets, lex_roundtrip_violations, attr_signature, block_tag_counts,
         unit_islands, units_protected, unit_stats, identity_splice, interval_units_at, overlap_edits,
         verify_tag_counts, verify_checks, verify_id_href_multisets, verify_score, verify_xhtml, book_health, failure_causes,
-        prologue_defects, attr_defects, content_defects, struct_diff, inline_moves, blamed_units,
-        sentences, leftover_words, term_frequencies, near_twins, glossary_defects, glossary_violations, glossary_conflicts,
+        prologue_defects, attr_defects, content_defects, struct_diff, inline_moves, blamed_units, verify_full,
+        sentences, leftover_sentences, leftover_words, term_frequencies, near_twins, glossary_defects, glossary_violations, glossary_conflicts,
         parse_extraction, parse_judge_report, gate_decisions, judged_summary, sample_thirds, rewrite_lang, text_functions, answer_markers,
         greedy_batches, outcomes_latest, attempts_latest, unit_status, failed_units_topk, retry_budget, plan_pass, requeue_unknown,
-        done_state, config_precedence, log_summary, log_models, event_log, translate_stub, measured_units,
+        dropped_units, read_original, books_progress, done_state, config_precedence, log_summary, log_models, log_lines, event_log,
+        translate_stub, judge_stub, measured_units,
     )
 }
 
@@ -588,4 +632,8 @@ ORACLE_SQL = {
     "log_summary": f"WITH {_RECORDS} SELECT count(*) AS attempts, CAST(floor(sum(score) / nullif(count(score), 0)) AS BIGINT) AS avg_score, CAST(sum(coalesce(tok, 0)) AS BIGINT) AS tokens FROM rec",
     "log_models": f"WITH {_RECORDS} SELECT slug, string_agg(DISTINCT model, ',' ORDER BY model) AS models FROM rec GROUP BY ALL",
     "event_log": "SELECT event_type, count(*) AS n, count(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS n_k, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k FROM events GROUP BY ALL",
+    "dropped_units": f"WITH {_LATEST} SELECT rel, idx, orig_hash, 'drop' AS status, CAST(1000000000 AS BIGINT) AS seq FROM latest WHERE rel IN ('src1', 'src2', 'none')",
+    "read_original": "SELECT doc_id AS rel, md5(CASE WHEN doc_id % 3 <> 0 AND text IS NOT NULL THEN 'o:' || text ELSE text END) AS orig_md5 FROM documents",
+    "books_progress": "WITH d AS (SELECT DISTINCT source AS slug, doc_id AS rel FROM documents) SELECT slug, count(*) AS files, count(*) FILTER (rel % 3 = 0) AS n_done, count(*) FILTER (rel % 7 = 1) AS n_failed FROM d GROUP BY ALL",
+    "log_lines": f"WITH {_RECORDS} SELECT concat_ws(' ', '[2020-01-01T00:00:00]', slug || '.xhtml', 'ok', concat_ws(' ', 'score=' || score, 'model=' || model)) AS line FROM rec",
 }
