@@ -142,8 +142,9 @@ SHINGLE = 5
 SKETCH = 2048  # coordinates that shingles are dealt over before the projection
 SEGMENT_BITS = 24
 SEGMENTS = 128
-CENTERS = 2
-FEW = 8  # members of a key that are compared with each other
+AHEAD = 32  # bits after the segment, by which most chance meetings end at once
+CENTERS = 1  # members that all others of a crowded key are compared with
+FEW = 6  # members of a key that are compared with each other
 DOUBT = 0.07  # estimates this close to the limit are settled by the shingles themselves
 
 
@@ -207,49 +208,51 @@ def chained(a: np.ndarray, b: np.ndarray, start: np.ndarray, allowed: np.ndarray
     return ok
 
 
-def _compared(batches):
+def _compared(batches, limit: int):
     """Pairs of members of each key, from rows sorted by key.
 
-    Each of the first ``FEW`` members is paired with all before it, each later
-    one with the first ``CENTERS`` only; what is held doesn't grow with a key.
+    A row's key has the segment, and below it the bits after it on the ring; a
+    pair may differ there in ``limit`` bits.  Each of the first ``FEW`` members
+    is paired with all before it, each later one with the first ``CENTERS``
+    only; what is held doesn't grow with a key.
     """
-    tail_key, tail = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last key's first members
-    seen = 0  # members of the last key so far
+    low = (1 << AHEAD) - 1
+    tail_key, tail, seen = -1, np.zeros((0, 2), np.int64), 0  # the last key, its first members, how many it had
     for batch in batches:
-        key, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
-        fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        if len(tail) and len(key) and key[0] == tail_key[0]:
-            before, known = seen, tail
-        else:
-            before, known = 0, np.zeros(0, np.int64)
-        starts = np.flatnonzero(fresh)
-        run = np.cumsum(fresh) - 1
-        place = np.arange(len(key)) - starts[run] + np.where(run == 0, before, 0)
-        a, b, k = [], [], []
+        packed, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
+        key, ahead = packed >> AHEAD, packed & low
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+        goes_on = key[0] == tail_key
+        before, known = (seen, tail) if goes_on else (0, tail[:0])
+        offset = np.where(run == 0, before, 0)
+        place = np.arange(len(key)) - starts[run] + offset
+        found: list[np.ndarray] = []
         for j in range(FEW - 1):  # partner number j of every member behind it
             rows = np.flatnonzero((place > j) & ((place < FEW) | (j < CENTERS)))
-            at = starts[run[rows]] + j - np.where(run[rows] == 0, before, 0)
-            inside = at >= 0
-            partner = np.where(inside, cls[np.maximum(at, 0)], known[j] if j < len(known) else 0)
-            a.append(np.minimum(partner, cls[rows]))
-            b.append(np.maximum(partner, cls[rows]))
-            k.append(key[rows] >> 24)
-        if len(key):
-            last = starts[-1]
-            first = last == 0 and before > 0
-            tail = np.concatenate([known, cls[last:]])[:FEW] if first else cls[last : last + FEW].copy()
-            seen = len(key) - last + (before if first else 0)
-            tail_key = key[-1:].copy()
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(k).astype(np.int32))], ["a", "b", "start"])
+            at = starts[run[rows]] + j - offset[rows]
+            here = at >= 0
+            other, bits = (np.where(here, x[np.maximum(at, 0)], known[j, c] if j < len(known) else 0) for c, x in ((0, cls), (1, ahead)))
+            close = np.bitwise_count(bits ^ ahead[rows]) <= limit
+            a, b = other[close], cls[rows][close]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b), key[rows][close] >> SEGMENT_BITS]))
+        last = starts[-1]
+        own = np.stack([cls[last : last + FEW], ahead[last : last + FEW]], 1)
+        more = goes_on and last == 0
+        tail = np.concatenate([known, own])[:FEW] if more else own
+        seen = len(key) - last + (before if more else 0)
+        tail_key = key[-1]
+        a, b, start = np.concatenate(found, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(start.astype(np.int32))], ["a", "b", "start"])
 
 
 def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """``(doc_id, cls, component_id)``: texts whose five-word shingles are that similar.
 
     Texts with equal fingerprints are one class.  Classes that share one of the
-    128 segments of 24 bits are candidates: up to eight under a key are all
-    compared, more are compared with two of them that come first in random
-    orders, never all with each other.  Candidates pass the pigeonring test, then the
+    128 segments of 24 bits are candidates: up to six under a key are all
+    compared, more are compared with the one that comes first in a random order
+    and the first six with each other.  Candidates pass the pigeonring test, then the
     full distance, from which the similarity is estimated; where the estimate
     is near the limit, the shingles themselves decide.  At a similarity of 0.8
     a pair shares a segment with probability 0.92, at 0.85 with 0.99.  Nulls,
@@ -274,13 +277,18 @@ def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col:
     def keys_of(batch):
         fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
         parts = fps.reshape(batch.num_rows, SEGMENTS, 3).astype(np.int64)
+        one, two = np.roll(parts, -1, 1), np.roll(parts, -2, 1)
         key = parts[:, :, 0] | parts[:, :, 1] << 8 | parts[:, :, 2] << 16 | np.arange(SEGMENTS)[None, :] << 24
-        return {"cls": pa.array(np.repeat(batch.column("cls").to_numpy(), SEGMENTS)), "key": pa.array(key.ravel())}
+        ahead = one[:, :, 0] | one[:, :, 1] << 8 | one[:, :, 2] << 16 | two[:, :, 0] << 24
+        return {"cls": pa.array(np.repeat(batch.column("cls").to_numpy(), SEGMENTS)), "key": pa.array((key << AHEAD | ahead).ravel())}
 
     keys = arrow_map(classes.where("n > 0").select("cls", "fp"), keys_of, "cls long, key long")
-    # members of a key stand together in a random order that is the same for all keys
-    dealt = keys.withColumn("order", F.xxhash64("cls")).repartition("key").sortWithinPartitions("key", "order").select("key", "cls")
-    pairs = written(dealt.mapInArrow(_compared, "a long, b long, start int").groupBy("a", "b").agg(F.min("start").alias("start")), "wide-pairs")
+    # members of a key stand together; classes are hashes, so in a random order that is the same for all keys
+    key = F.shiftright("key", AHEAD)
+    dealt = keys.repartition(key).sortWithinPartitions(key, "cls").select("key", "cls")
+    share = np.arccos(2 * least / (1 + least)) / np.pi
+    limit = int(AHEAD * share + 2.5 * np.sqrt(AHEAD * share * (1 - share)))
+    pairs = written(dealt.mapInArrow(lambda batches: _compared(batches, limit), "a long, b long, start int").groupBy("a", "b").agg(F.min("start").alias("start")), "wide-pairs")
     left = classes.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("fp").alias("x"))
     right = classes.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("fp").alias("y"))
 
