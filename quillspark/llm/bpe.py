@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding with a segment tree per piece.
 
-A piece's adjacent pairs are the leaves of a tree; every node holds the
-smallest ``rank * 2**32 + position`` beneath it, so that the root is the
-leftmost of the lowest-ranked merges.  A merge updates three leaves, each in
-logarithmic time, until the root says that nothing can be merged.
+A piece's adjacent pairs are the leaves of a tree with 16 children to a node;
+every node holds the smallest ``rank * 2**32 + position`` beneath it, so that
+the root is the leftmost of the lowest-ranked merges.  A merge changes three
+leaves and the nodes above them, in logarithmic time, until the root says that
+nothing can be merged.  A short piece has the root alone above its leaves.
 
 The vocabulary is a JSON file of the ``tokenizers`` format (byte-level BPE).
 Its path is a parameter; executors read the file where it is installed.
@@ -24,8 +25,10 @@ from quillspark.llm.common import arrow_map, keyed, texts
 #: Fixed by the vocabulary's pre-tokenizer: the pieces that are merged within.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = 1 << 62
+PLACE = (1 << 32) - 1
+CHILDREN = 16
 #: Pieces that a Python worker keeps encoded; when full, it starts afresh.
-CACHED_PIECES = 200_000
+CACHED_PIECES = 300_000
 SHORT = 64
 
 
@@ -63,7 +66,7 @@ class Codec:
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merge[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.merge[vocab[a], vocab[b]] = (rank << 32, vocab[a + b])
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         for content, i in self.added.items():
             self.bytes_of[i] = content.encode()
@@ -76,46 +79,37 @@ class Codec:
         n = len(ids)
         if n < 2:
             return ids
-        merge, leaves = self.merge, 1
-        while leaves < n - 1:
-            leaves *= 2
-        tree = [NONE] * (2 * leaves)
-        for i in range(n - 1):
-            if found := merge.get((ids[i], ids[i + 1])):
-                tree[leaves + i] = found[0] << 32 | i
-        for k in range(leaves - 1, 0, -1):
-            a, b = tree[2 * k], tree[2 * k + 1]
-            tree[k] = a if a < b else b
-        ids = list(ids)
+        merge, find, ids = self.merge, self.merge.get, list(ids)
+        leaves = [m[0] | i if m else NONE for i, m in enumerate(map(find, zip(ids, ids[1:], strict=False)))]
+        levels = [leaves]
+        while len(levels[-1]) > CHILDREN:
+            below = levels[-1]
+            levels.append([min(below[k : k + CHILDREN]) for k in range(0, len(below), CHILDREN)])
+        top, deep = levels[-1], levels[1:]
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(i: int) -> None:
-            """Set the leaf of the pair that starts at i, and the nodes above."""
-            j = following[i]
-            found = merge.get((ids[i], ids[j])) if j < n else None
-            k, value = leaves + i, found[0] << 32 | i if found else NONE
-            while tree[k] != value:
-                tree[k] = value
-                if k == 1:
-                    break
-                other = tree[k ^ 1]
-                k >>= 1
-                value = value if value < other else other
-
-        while tree[1] != NONE:
-            i = tree[1] & 0xFFFFFFFF
+        while (root := min(top)) != NONE:
+            i = root & PLACE
             j = following[i]
-            ids[i] = merge[ids[i], ids[j]][1]
-            ids[j] = -1
-            following[i] = following[j]
-            if following[j] < n:
-                before[following[j]] = i
+            k = following[i] = following[j]
+            ids[i], ids[j] = merge[ids[i], ids[j]][1], -1
             if j < n - 1:
-                put(j)
-            if i < n - 1:
-                put(i)
-            if before[i] >= 0:
-                put(before[i])
+                leaves[j] = NONE
+            m = None
+            if k < n:
+                before[k] = i
+                m = find((ids[i], ids[k]))
+            leaves[i] = m[0] | i if m else NONE
+            h = before[i]
+            if h >= 0:
+                m = find((ids[h], ids[i]))
+                leaves[h] = m[0] | h if m else NONE
+            if deep:
+                below, changed = leaves, {max(h, 0), i, min(j, n - 2)}
+                for level in deep:
+                    changed = {c // CHILDREN for c in changed}
+                    for c in changed:
+                        level[c] = min(below[c * CHILDREN : (c + 1) * CHILDREN])
+                    below = level
         return [x for x in ids if x >= 0]
 
     def piece(self, piece: str) -> tuple[str, int, bytes]:
