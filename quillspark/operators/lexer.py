@@ -71,6 +71,11 @@ def in_document() -> Window:
 
 
 def with_offsets(toks: DataFrame) -> DataFrame:
-    """Adds ``start`` and ``end`` in code points; one shuffle by document."""
-    end = F.sum(F.length("raw")).over(in_document())
-    return toks.withColumn("end", end).withColumn("start", F.col("end") - F.length("raw"))
+    """Adds ``start`` and ``end`` in code points; one shuffle by document.
+
+    Lengths are taken first, so that token texts take part in the shuffle only
+    where they are asked for afterwards.
+    """
+    sized = toks.withColumn("_size", F.length("raw"))
+    end = F.sum("_size").over(in_document())
+    return sized.withColumn("end", end).withColumn("start", F.col("end") - F.col("_size")).drop("_size")

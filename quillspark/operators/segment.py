@@ -53,12 +53,14 @@ def islands(toks: DataFrame) -> DataFrame:
     w = in_document()
     bound = is_boundary(F.col("kind"), F.col("name"))
     literal = F.when(F.col("name").isin(*dims.LITERAL_BLOCKS), F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1)).otherwise(0)
-    marked = toks.withColumn("boundary", bound).withColumn("island", F.sum(bound.cast("int")).over(w)).withColumn("depth", F.sum(literal).over(w))
     letters = (F.col("kind") == "text") & F.col("raw").rlike(r"\p{L}")
+    # what is needed of the texts is taken before the shuffle by document
+    bare = toks.select("doc_id", "pos", "kind", "name", F.length("raw").alias("size"), letters.alias("letters"))
+    marked = bare.withColumn("boundary", bound).withColumn("island", F.sum(bound.cast("int")).over(w)).withColumn("depth", F.sum(literal).over(w))
     return (
         marked.where("not boundary")
         .groupBy("doc_id", "island")
-        .agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_tokens"), F.sum(F.length("raw")).alias("n_chars"), F.bool_or(letters).alias("has_letters"), F.bool_or(F.col("depth") > 0).alias("literal"))
+        .agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_tokens"), F.sum("size").alias("n_chars"), F.bool_or("letters").alias("has_letters"), F.bool_or(F.col("depth") > 0).alias("literal"))
     )
 
 
