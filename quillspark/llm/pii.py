@@ -15,6 +15,7 @@ over the whole text.
 from __future__ import annotations
 
 import bisect
+import random
 import re
 from functools import lru_cache
 
@@ -114,21 +115,22 @@ def coded(text: str) -> np.ndarray:
 
 def labelled(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """``n`` windows of generated text and their tags, from known spans."""
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    rng = random.Random(int(rng.integers(1 << 62)))
+    pick = rng.choice
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
     syllables = ["an", "er", "the", "on", "re", "ti", "és", "ou", "ñi", "ch", "ung", "la", "de", "be", "ver", "ción", "au", "ß", "st"]
 
     def word() -> str:
-        w = "".join(pick(syllables) for _ in range(int(rng.integers(1, 5))))
+        w = "".join(pick(syllables) for _ in range(rng.randrange(1, 5)))
         return (w.capitalize() if rng.random() < 0.15 else w) + (pick([",", ".", "***", "&&&", "!!"]) if rng.random() < 0.15 else "")
 
     def email() -> str:
-        name = pick(["{}.{}", "{}{}", "{}_{}", "{}-{}"]).format(pick(syllables) + pick(["an", "en", "o"]), digits(int(rng.integers(0, 3))) or "x")
-        host = f"{pick(['mail', 'post', 'web'])}{digits(int(rng.integers(0, 2)))}{pick(['.example', '', '.corp'])}.{pick(['com', 'org', 'net', 'de', 'fr'])}"
+        name = pick(["{}.{}", "{}{}", "{}_{}", "{}-{}"]).format(pick(syllables) + pick(["an", "en", "o"]), digits(rng.randrange(3)) or "x")
+        host = f"{pick(['mail', 'post', 'web'])}{digits(rng.randrange(2))}{pick(['.example', '', '.corp'])}.{pick(['com', 'org', 'net', 'de', 'fr'])}"
         return name + pick(["@", "@", "@", "@", " @ ", "(@)", "[@]"]) + host
 
     def ip() -> str:
-        return ".".join(str(int(x)) for x in rng.integers(0, 256, 4))
+        return ".".join(str(rng.randrange(256)) for _ in range(4))
 
     def card() -> str:
         return pick(["", "", " ", "-", "."]).join([digits(4) for _ in range(4)])
@@ -138,7 +140,7 @@ def labelled(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         return shape.format(digits(3), digits(3), digits(4))
 
     def noise() -> str:
-        hexa = "".join(pick("0123456789abcdef") for _ in range(int(rng.integers(12, 41))))
+        hexa = "".join(pick("0123456789abcdef") for _ in range(rng.randrange(12, 41)))
         return pick([f'token = "{hexa}"', f"{digits(4)}", f"{digits(1)}.{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"version {digits(1)}.", f"{digits(7)}", f"{digits(2)}%", f"#{digits(5)}", f"$ {digits(3)}.{digits(2)}", f"v{digits(1)}.{digits(2)}.{digits(1)}", "@ " + word(), f"p. {digits(2)}-{digits(2)}"])
 
     makers = {"email": email, "ip": ip, "card": card, "phone": phone}
@@ -148,7 +150,7 @@ def labelled(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         while len(text) < WINDOW:
             roll = rng.random()
             if roll < 0.22:
-                kind = int(rng.integers(len(KINDS)))
+                kind = rng.randrange(len(KINDS))
                 piece = makers[KINDS[kind]]()
                 tags += [1 + 2 * kind] + [2 + 2 * kind] * (len(piece) - 1)
             else:
@@ -156,7 +158,7 @@ def labelled(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
                 tags += [0] * len(piece)
             gap = pick([" ", " ", " ", "\n", ", "])
             text, tags = text + piece + gap, tags + [0] * len(gap)
-        cut = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
+        cut = rng.randrange(max(1, len(text) - WINDOW + 1))
         x[r], y[r] = coded(text[cut : cut + WINDOW]), tags[cut : cut + WINDOW]
     return x, y
 
@@ -253,16 +255,18 @@ class Tagger:
         np.put_along_axis(de, y.T[:, :, None], np.take_along_axis(de, y.T[:, :, None], 2) - 1, 2)
         g["out"], g["bias"] = np.einsum("tnh,tnk->hk", both, de, optimize=True), de.sum((0, 1))
         dboth = de @ p["out"].T
+        seen = np.eye(CODES, dtype=np.float32)[x.T.ravel()]  # which character each row of the gradients belongs to
         for d, part in (("f", dboth[:, :, :h]), ("b", dboth[:, :, h:])):
             recur = p[f"h{d}"]
-            ds, dc = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+            ds, dc, all_dz = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), np.empty((t, n, 4 * h), dboth.dtype)
             for k, s0, c0, i, f, o, gg, tc in reversed(runs[d][1]):
                 ds = ds + part[k]
                 dc = dc + ds * o * (1 - tc * tc)
                 dz = np.concatenate([dc * gg * i * (1 - i), dc * c0 * f * (1 - f), ds * tc * o * (1 - o), dc * i * (1 - gg * gg)], 1)
-                np.add.at(g[f"x{d}"], x[:, k], dz)
+                all_dz[k] = dz
                 g[f"h{d}"] += s0.T @ dz
                 ds, dc = dz @ recur.T, dc * f
+            g[f"x{d}"] += seen.T @ all_dz.reshape(n * t, -1)
         return float((z - gold).mean()), {k: v / n for k, v in g.items()}
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, chat, decontam, mips, pii, quality, secrets, simhash, toxicity, url_filter
 from quillspark.llm.common import written
+from quillspark.session import spread
 
 VOCABULARY = "byte_bpe_50k.json"
 RULES = (
@@ -24,7 +25,7 @@ RULES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fold(doc_id: str, folds: int) -> Column:

@@ -64,7 +64,7 @@ def token_counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def mine(docs: DataFrame, labels: DataFrame, size: int = 150, max_rows: int = 20_000, precision: float = 0.9, evidence: float = 32.0) -> list[str]:
+def mine(docs: DataFrame, labels: DataFrame, size: int = 200, max_rows: int = 20_000, precision: float = 0.9, evidence: float = 27.0) -> list[str]:
     """Up to ``size`` tokens that mark toxic texts, strongest first.
 
     ``labels (doc_id, label)`` are the rows to learn from.  About ``max_rows``
