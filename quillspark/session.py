@@ -1,4 +1,4 @@
-"""Makes the package importable on executors."""
+"""Makes the package importable on executors, and small tables parallel."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -23,3 +23,13 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(p, p.relative_to(top.parent))
         spark.sparkContext.addPyFile(str(target))
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew if it has fewer partitions than there are cores.
+
+    A file with a single row group is read by one task, however much is done
+    to its rows afterwards.  Tables of many files come as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
