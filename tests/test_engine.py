@@ -77,3 +77,23 @@ def test_logs_batch_and_stream(spark, tmp_path):
 
 def test_localname(spark):
     assert spark.range(1).select(epub.localname(F.lit("{urn:x}item")).alias("n")).first()["n"] == "item"
+
+
+def test_single_files_are_dealt_out(spark, tmp_path):
+    from quillspark.session import spread
+
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r["id"] for r in spread(one).collect()) == list(range(100))
+    many = spark.range(100).repartition(9)
+    assert spread(many) is many
+
+
+def test_wrong_rendering_names_the_confusion():
+    from quillspark.operators.terms import wrong_rendering
+
+    g = {"esoterism": "esoterismo", "exoterism": "essoterismo"}
+    assert "rendering of “exoterism”" in wrong_rendering("esoterism", "esoterismo", "about esoterism", "su essoterismo", g)
+    assert wrong_rendering("esoterism", "esoterismo", "esoterism", "esoterism0 x", {"esoterism": "esoterismo"}).startswith("the previous output wrote “esoterism0”")
+    assert wrong_rendering("trine", "trigono", "trine", "altro", {"trine": "trigono"}) == ""
