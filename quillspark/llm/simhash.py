@@ -143,7 +143,8 @@ SKETCH = 2048  # coordinates that shingles are dealt over before the projection
 SEGMENT_BITS = 20
 SEGMENTS = 80
 AHEAD = 32  # bits after the segment, by which most chance meetings end at once
-FEW = 6  # members of a key that are all compared with each other
+FEW = 6  # members of a key that are all compared with each other at first
+TILE = 512  # members of a crowded key that meet those of another tile at once
 DOUBT = 0.07  # estimates this close to the limit are settled by the shingles themselves
 
 
@@ -219,28 +220,41 @@ class _Key:
 
     The first ``FEW`` are compared with each other and lead; a later member is
     compared with the leader nearest to it in the bits ahead, and leads itself
-    if none is near.
+    if none is near.  Once a near pair is passed over that way the key is open:
+    its members, earlier ones included, are handed on to :func:`_crowds`.
     """
 
     def __init__(self, key: int):
         self.key, self.n, self.cls, self.bits = key, 0, [], np.zeros(8, np.int64)
+        self.open, self.held, self.seen = False, [], np.zeros(8, np.int64)
 
-    def pairs(self, cls: np.ndarray, ahead: np.ndarray, limit: int) -> list[tuple[int, int]]:
-        out = []
+    def pairs(self, cls: np.ndarray, ahead: np.ndarray, limit: int) -> tuple[list[tuple[int, int]], list[int]]:
+        out, members = [], []
         for c, x in zip(cls.tolist(), ahead.tolist(), strict=True):
             apart = np.bitwise_count(self.bits[: len(self.cls)] ^ x)
             near = apart <= limit
+            before = len(out)
             if self.n < FEW:
                 out += [(self.cls[i], c) for i in np.flatnonzero(near)]
             elif near.any():
                 out.append((self.cls[int(apart.argmin())], c))
+            if self.open:
+                members.append(c)
+            else:
+                met = np.bitwise_count(self.seen[: self.n] ^ x) <= limit
+                if self.n == len(self.seen):
+                    self.seen = np.concatenate([self.seen, self.seen])
+                self.seen[self.n] = x
+                self.held.append(c)
+                if met.sum() > len(out) - before:
+                    self.open, members, self.held = True, members + self.held, []
             if self.n < FEW or not near.any():
                 if len(self.cls) == len(self.bits):
                     self.bits = np.concatenate([self.bits, self.bits])
                 self.bits[len(self.cls)] = x
                 self.cls.append(c)
             self.n += 1
-        return out
+        return out, members
 
 
 def _compared(batches, limit: int):
@@ -248,17 +262,20 @@ def _compared(batches, limit: int):
 
     A row's key has the segment, and below it the bits after it on the ring; a
     pair may differ there in ``limit`` bits.  Small keys are met as arrays,
-    others and those at a batch's ends by :class:`_Key`.
+    others and those at a batch's ends by :class:`_Key`.  A member of an open
+    key comes as ``(cls, key, -1)``.
     """
     low, now = (1 << AHEAD) - 1, _Key(-1)
     for batch in batches:
         packed, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
+        if not len(packed):
+            continue
         key, ahead = packed >> AHEAD, packed & low
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
         single = sizes <= FEW
         single[[0, -1]] = False
-        a, b, k = [], [], []
+        a, b, k, c, d = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         small = np.flatnonzero(single & (sizes > 1))
         for i in range(FEW):
             for j in range(i):
@@ -271,13 +288,105 @@ def _compared(batches, limit: int):
             part = slice(starts[run], starts[run] + sizes[run])
             if now.key != key[part.start]:
                 now = _Key(int(key[part.start]))
-            if found := now.pairs(cls[part], ahead[part], limit):
+            found, members = now.pairs(cls[part], ahead[part], limit)
+            if found:
                 x, y = np.array(found, np.int64).T
                 a.append(x)
                 b.append(y)
                 k.append(np.full(len(x), now.key))
-        a, b = np.concatenate(a), np.concatenate(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array((np.concatenate(k) >> SEGMENT_BITS).astype(np.int32))], ["a", "b", "start"])
+            c.append(np.array(members, np.int64))
+            d.append(np.full(len(members), now.key))
+        a, b, c, d = (np.concatenate(x) for x in (a, b, c, d))
+        start = np.concatenate([np.concatenate(k) >> SEGMENT_BITS, np.full(len(c), -1)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(a, b), c])), pa.array(np.concatenate([np.maximum(a, b), d])), pa.array(start)], ["a", "b", "start"])
+
+
+def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, start: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which candidates (rows of bytes, shingle counts) are near, and whether surely so."""
+    low = max(0.05, least - DOUBT)
+    cosine = np.clip(low / (1 + low) * (n + m) / np.sqrt(n * m), -1, 1)
+    allowed = np.arccos(cosine) / np.pi * SEGMENTS * SEGMENT_BITS
+    ok = np.flatnonzero(chained(a, b, start, allowed))
+    guess = likeness(np.bitwise_count(a[ok] ^ b[ok]).sum(1, dtype=np.int64), n[ok], m[ok])
+    ok, guess = ok[guess >= low], guess[guess >= low]
+    small = np.minimum(n[ok], m[ok]) < 50  # few shingles make a rough estimate
+    return ok, (guess >= least + DOUBT) & ~small
+
+
+def _runs(batches, names: tuple[str, ...]):
+    """Tables of the neighbouring rows that are equal in ``names``, across batches."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = np.stack([batch.column(c).to_numpy() for c in names])
+        starts = np.flatnonzero(np.concatenate([[True], (cols[:, 1:] != cols[:, :-1]).any(0)]))
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            if held and tuple(cols[:, i]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(cols[:, i])
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _met(batches, limit: int, least: float, step: int = 128):
+    """Near pairs of each tile between different roots: of sure ones one for two roots.
+
+    Rows are sorted by tile; all pairs of a tile that are near in the bits ahead
+    are held against their whole fingerprints.
+    """
+    for t in _runs(batches, ("key", "x", "y")):
+        key, x, y = (t.column(c)[0].as_py() for c in ("key", "x", "y"))
+        cls, root, n, part = (t.column(c).to_numpy() for c in ("cls", "root", "n", "part"))
+        if (root == root[0]).all():
+            continue
+        fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint8).reshape(len(cls), -1)
+        start, size = key >> SEGMENT_BITS, SEGMENTS * SEGMENT_BITS
+        bits = np.unpackbits(fps, axis=1, bitorder="little")[:, ((start + 1) * SEGMENT_BITS + np.arange(AHEAD)) % size]
+        ahead = np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.uint32).ravel()
+        left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
+        sure_of: dict[tuple[int, int], tuple[int, int]] = {}
+        doubt = []
+        for i in range(0, len(left), step):
+            own = left[i : i + step]
+            ok = (np.bitwise_count(ahead[own, None] ^ ahead[None, right]) <= limit) & (root[own, None] != root[None, right])
+            if x == y:
+                ok &= own[:, None] < right[None, :]
+            r, c = np.nonzero(ok)
+            for j in range(0, len(r), 1 << 15):
+                p, q = own[r[j : j + (1 << 15)]], right[c[j : j + (1 << 15)]]
+                kept, sure = _near(fps[p], fps[q], n[p].astype(float), n[q].astype(float), np.full(len(p), start), least)
+                p, q = p[kept], q[kept]
+                for u, v in zip(p[sure].tolist(), q[sure].tolist(), strict=True):
+                    sure_of.setdefault((min(root[u], root[v]), max(root[u], root[v])), (u, v))
+                doubt += list(zip(p[~sure].tolist(), q[~sure].tolist(), strict=True))
+        doubt = [(u, v) for u, v in doubt if (min(root[u], root[v]), max(root[u], root[v])) not in sure_of]
+        if pairs := [*sure_of.values(), *doubt]:
+            u, v = np.array(pairs).T
+            swap = cls[u] > cls[v]
+            u, v = np.where(swap, v, u), np.where(swap, u, v)
+            sure = np.arange(len(u)) < len(sure_of)
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in (cls[u], cls[v], root[u], root[v], sure)], ["a", "b", "ra", "rb", "sure"])
+
+
+def _crowds(members: DataFrame, rooted: DataFrame, classes: DataFrame, limit: int, least: float) -> DataFrame:
+    """``(a, b, ra, rb, sure)``: near pairs of different roots in ``members (cls, key)`` of open keys.
+
+    Every pair of members that is near in the bits ahead is looked at, unless
+    its ends are already linked.  A key's members are dealt over tiles of about
+    ``TILE`` by hash and each two tiles meet in one place, so that no key is
+    bound to one task.
+    """
+    held = written(members.join(rooted.select("cls", "root"), "cls"), "wide-members")
+    mixed = held.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    mixed = written(mixed.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("parts")), "wide-crowds")
+    dealt = held.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("cls", "key"), F.col("parts")).cast("int"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cls", "root", "key", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+    whole = tiles.join(classes.select("cls", "n", "fp"), "cls").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    found = whole.mapInArrow(lambda batches: _met(batches, limit, least), "a long, b long, ra long, rb long, sure boolean")
+    return found.groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"), F.max("sure").alias("sure"))
 
 
 def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -285,10 +394,11 @@ def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col:
 
     Texts with equal fingerprints are one class.  Classes that share one of the
     80 segments of 20 bits, and are near in the 32 bits after it, are
-    candidates: up to six under a key are all compared, later ones with the
-    nearest that leads, never all with each other.  Candidates pass the
-    pigeonring test, then the full distance, from which the similarity is
-    estimated; where the estimate is near the limit, the shingles themselves
+    candidates.  Up to six under a key are all compared, later ones at first
+    with the nearest that leads; where that passes over a near pair, all pairs
+    under the key that are not linked by then are compared as well.  Candidates
+    pass the pigeonring test, then the full distance, from which the similarity
+    is estimated; where the estimate is near the limit, the shingles themselves
     decide.  At a similarity of 0.8 a pair shares a segment with probability
     0.95, at 0.85 with 0.99.  Over some ten million different texts, wider
     segments (and more of them) keep keys from filling by chance.  Nulls,
@@ -320,31 +430,21 @@ def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col:
     dealt = keys.repartition(key).sortWithinPartitions(key, "cls").select("key", "cls")
     share = np.arccos(2 * least / (1 + least)) / np.pi
     limit = int(AHEAD * share + 2.5 * np.sqrt(AHEAD * share * (1 - share)))
-    pairs = written(dealt.mapInArrow(lambda batches: _compared(batches, limit), "a long, b long, start int").groupBy("a", "b").agg(F.min("start").alias("start")), "wide-pairs")
+    met = dealt.mapInArrow(lambda batches: _compared(batches, limit), "a long, b long, start int")
+    met = written(met.groupBy("a", "b", F.expr("start < 0").alias("crowd")).agg(F.min("start").alias("start")), "wide-pairs")
+    pairs = met.where("not crowd").select("a", "b", "start")
     left = classes.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("fp").alias("x"))
     right = classes.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("fp").alias("y"))
 
     def near(batch):
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
         n, m = (batch.column(c).to_numpy().astype(float) for c in ("n", "m"))
-        low = max(0.05, least - DOUBT)
-        cosine = np.clip(low / (1 + low) * (n + m) / np.sqrt(n * m), -1, 1)
-        allowed = np.arccos(cosine) / np.pi * SEGMENTS * SEGMENT_BITS
-        ok = np.flatnonzero(chained(a, b, batch.column("start").to_numpy(), allowed))
-        guess = likeness(np.bitwise_count(a[ok] ^ b[ok]).sum(1, dtype=np.int64), n[ok], m[ok])
-        ok, guess = ok[guess >= low], guess[guess >= low]
-        small = np.minimum(n[ok], m[ok]) < 50  # few shingles make a rough estimate
-        return {"a": batch.column("a").take(pa.array(ok)), "b": batch.column("b").take(pa.array(ok)), "sure": pa.array((guess >= least + DOUBT) & ~small)}
-
-    close = written(arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "start", "n", "m", "x", "y"), near, "a long, b long, sure boolean"), "wide-close")
-    doubtful = close.where("not sure").select("a", "b")
-    asked = written(doubtful.select(F.col("a").alias("cls")).union(doubtful.select("b")).distinct().join(classes.select("cls", "row"), "cls"), "wide-asked")
+        ok, sure = _near(a, b, n, m, batch.column("start").to_numpy(), least)
+        return {"a": batch.column("a").take(pa.array(ok)), "b": batch.column("b").take(pa.array(ok)), "sure": pa.array(sure)}
 
     def shingles(batch):
         return {"cls": batch.column("cls"), "h": pa.array([shingle_hashes(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())}
 
-    held = written(arrow_map(src.select("row", "text").join(asked, "row").select("cls", "text"), shingles, "cls long, h binary"), "wide-shingles")
-
     def exact(batch):
         kept = []
         for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
@@ -353,11 +453,23 @@ def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col:
             if both >= least * (len(a) + len(b) - both):
                 kept.append(i)
         at = pa.array(kept, pa.int64())
-        return {"a": batch.column("a").take(at), "b": batch.column("b").take(at)}
+        return {"a": batch.column("ra").take(at), "b": batch.column("rb").take(at)}
 
-    settled = doubtful.join(held.select(F.col("cls").alias("a"), F.col("h").alias("x")), "a").join(held.select(F.col("cls").alias("b"), F.col("h").alias("y")), "b").select("a", "b", "x", "y")
-    found = components(close.where("sure").select("a", "b").union(arrow_map(settled, exact, "a long, b long")))
+    def settled(close):
+        """Links of the roots of ``close (a, b, ra, rb, sure)``; shingles decide on what isn't sure."""
+        doubtful = close.where("not sure").drop("sure")
+        asked = written(doubtful.select(F.col("a").alias("cls")).union(doubtful.select("b")).distinct().join(classes.select("cls", "row"), "cls"), "wide-asked")
+        held = written(arrow_map(src.select("row", "text").join(asked, "row").select("cls", "text"), shingles, "cls long, h binary"), "wide-shingles")
+        both = doubtful.join(held.select(F.col("cls").alias("a"), F.col("h").alias("x")), "a").join(held.select(F.col("cls").alias("b"), F.col("h").alias("y")), "b")
+        return close.where("sure").select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(arrow_map(both.select("ra", "rb", "x", "y"), exact, "a long, b long"))
+
+    close = written(arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "start", "n", "m", "x", "y"), near, "a long, b long, sure boolean"), "wide-close")
+    found = components(settled(close.withColumn("ra", F.col("a")).withColumn("rb", F.col("b"))))
     rooted = written(firsts.join(found, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root")), "wide-rooted")
+    members = met.where("crowd").select(F.col("a").alias("cls"), F.col("b").alias("key"))
+    crowds = written(_crowds(members, rooted, classes, limit, least), "wide-met")
+    found = components(settled(crowds)).withColumnRenamed("root", "top")
+    rooted = written(rooted.join(found, F.col("root") == F.col("node"), "left").select("cls", "first", F.coalesce("top", "root").alias("root")), "wide-rooted")
     names = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "wide-names")
     named = written(rooted.join(names, "root").select("cls", "component_id"), "wide-named")
     return prints.select("doc_id", "cls").join(named, "cls", "left").select("doc_id", "cls", "component_id")

@@ -101,6 +101,36 @@ def test_similar_texts(spark):
     assert kept.columns == docs.columns and kept.count() == len(set(roots(len(texts), links)))
 
 
+def test_similar_texts_of_one_template(spark):
+    rng = random.Random(21)
+    template = [f"t{rng.randrange(9999)}" for _ in range(300)]
+
+    def changed(words, slots):
+        out = list(words)
+        for k in slots:
+            out[6 * k + 2] = f"new{rng.random()}"
+        return out
+
+    texts, twins = [], []
+    for i in range(2000):
+        slots = rng.sample(range(50), 11)
+        texts.append(changed(template, slots[:6]))  # two of these are 0.67 alike
+        if i % 20 == 0:
+            twins.append((i, 2000 + len(twins)))
+            twins[-1] += (changed(texts[-1], slots[6:]),)  # 0.84
+    docs = [" ".join(t) for t in texts] + [" ".join(t) for _, _, t in twins]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    found = sum(got[i] == got[j] for i, j, _ in twins)
+    sets = [set(simhash.shingle_hashes(t).tolist()) for t in docs]
+    assert found >= 97, found
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert all(alike(i, j) for i, j, _ in twins)
+    groups = {}
+    for i, root in got.items():
+        groups.setdefault(root, []).append(i)
+    assert all(any(alike(i, j) for j in g if j != i) for g in groups.values() if len(g) > 1 for i in g)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (None, None), (5, "a b c d"), (5, "a b c d"), (2, None)], "doc_id long, text string")
     rows = simhash.near_duplicates(docs).collect()
