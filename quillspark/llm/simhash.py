@@ -163,15 +163,16 @@ def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, [42] * n), np.uint64, n))
 
 
-def wide_prints(texts: list[str | None], signs: np.ndarray, step: int = 256) -> tuple[list[bytes], list[int]]:
-    """Wide fingerprints and the number of different shingles of whole texts.
+def wide_prints(texts: list[str | None], signs: np.ndarray, step: int = 256) -> tuple[list[bytes], list[int], list[int]]:
+    """Wide fingerprints of whole texts, the number of different shingles, and a hash of all of them.
 
     A shingle adds a sign to one coordinate of a sketch, and each bit says on
     which side of a random plane the sketch lies.
     """
-    out, sizes = [], []
+    out, sizes, sets = [], [], []
     for i in range(0, len(texts), step):
         hashes = [shingle_hashes(t) for t in texts[i : i + step]]
+        sets += [xxhash.xxh64_intdigest(h.tobytes()) for h in hashes]
         n = [len(h) for h in hashes]
         h = np.concatenate(hashes)
         at = np.repeat(np.arange(len(n)), n) * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64)
@@ -179,7 +180,7 @@ def wide_prints(texts: list[str | None], signs: np.ndarray, step: int = 256) ->
         sketch = np.bincount(at, sign, len(n) * SKETCH).reshape(len(n), SKETCH).astype(np.float32)
         out += [row.tobytes() for row in np.packbits(sketch @ signs > 0, axis=1, bitorder="little")]
         sizes += n
-    return out, sizes
+    return out, sizes, sets
 
 
 def likeness(differing: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -392,7 +393,7 @@ def _crowds(members: DataFrame, rooted: DataFrame, classes: DataFrame, limit: in
 def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """``(doc_id, cls, component_id)``: texts whose five-word shingles are that similar.
 
-    Texts with equal fingerprints are one class.  Classes that share one of the
+    Texts with equal sets of shingles are one class.  Classes that share one of the
     80 segments of 20 bits, and are near in the 32 bits after it, are
     candidates.  Up to six under a key are all compared, later ones at first
     with the nearest that leads; where that passes over a near pair, all pairs
@@ -411,8 +412,8 @@ def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col:
         src = written(keyed(df, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id()), "rows")
 
     def rows(batch):
-        fps, n = wide_prints(batch.column("text").to_pylist(), _signs())
-        cls = [signed(xxhash.xxh64_intdigest(f, k)) for f, k in zip(fps, n, strict=True)]
+        fps, n, sets = wide_prints(batch.column("text").to_pylist(), _signs())
+        cls = [signed(h) for h in sets]
         return {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "cls": pa.array(cls, pa.int64()), "n": pa.array(n, pa.int32()), "fp": pa.array(fps, pa.binary())}
 
     prints = written(arrow_map(src, rows, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, row long, cls long, n int, fp binary"), "wide-prints")

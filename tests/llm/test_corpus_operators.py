@@ -101,6 +101,13 @@ def test_similar_texts(spark):
     assert kept.columns == docs.columns and kept.count() == len(set(roots(len(texts), links)))
 
 
+def test_different_short_texts_stay(spark):
+    docs = spark.createDataFrame([(i, f"only a few words {i}") for i in range(500)] + [(i + 500, f"only a few words {i}") for i in range(9)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    assert got == {i: i % 500 for i in range(509)}
+    assert simhash.one_of_each(docs).count() == 500
+
+
 def test_similar_texts_of_one_template(spark):
     rng = random.Random(21)
     template = [f"t{rng.randrange(9999)}" for _ in range(300)]
