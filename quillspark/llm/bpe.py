@@ -4,7 +4,7 @@ A piece's adjacent pairs are the leaves of a tree with 16 children to a node;
 every node holds the smallest ``rank * 2**32 + position`` beneath it, so that
 the root is the leftmost of the lowest-ranked merges.  A merge changes three
 leaves and the nodes above them, in logarithmic time, until the root says that
-nothing can be merged.  A short piece has the root alone above its leaves.
+nothing can be merged.  Pieces of all lengths go the same way.
 
 The vocabulary is a JSON file of the ``tokenizers`` format (byte-level BPE).
 Its path is a parameter; executors read the file where it is installed.
@@ -70,16 +70,17 @@ class Codec:
         vocab = model["vocab"]
         self.first = [vocab.get(c, -1) for c in letters]
         self.bytes_of = {i: bytes(back[c] for c in word) for word, i in vocab.items()}
+        self.name_of = {i: str(i) for i in vocab.values()}
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merge[vocab[a], vocab[b]] = (rank << 32, vocab[a + b])
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         for content, i in self.added.items():
-            self.bytes_of[i] = content.encode()
+            self.bytes_of[i], self.name_of[i] = content.encode(), str(i)
         self.split_added = regex.compile("(" + "|".join(regex.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.pieces, self.latin_pieces, self.odd = regex.compile(PIECES), re.compile(LATIN_PIECES), re.compile(f"[^{PLAIN}]")
-        self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.cache: dict[str, list[int]] = {}
 
     def merged(self, ids: list[int]) -> list[int]:
         """The ids of one piece after all merges, through the segment tree."""
@@ -87,81 +88,70 @@ class Codec:
         if n < 2:
             return ids
         merge, find, ids = self.merge, self.merge.get, list(ids)
-        if n <= CHILDREN + 1:  # the root alone: leaves can be taken out instead of being emptied
-            ranks = [m[0] if m else NONE for m in map(find, zip(ids, ids[1:], strict=False))]
-            while ranks and (root := min(ranks)) != NONE:
-                i = ranks.index(root)
-                new = ids[i] = merge[ids[i], ids.pop(i + 1)][1]
-                del ranks[i]
-                if i < len(ranks):
-                    m = find((new, ids[i + 1]))
-                    ranks[i] = m[0] if m else NONE
-                if i:
-                    m = find((ids[i - 1], new))
-                    ranks[i - 1] = m[0] if m else NONE
-            return ids
-        leaves = [m[0] | i if m else NONE for i, m in enumerate(map(find, zip(ids, ids[1:], strict=False)))]
-        levels = [leaves]
-        while len(levels[-1]) > CHILDREN:
+        levels = [[m[0] | i if m else NONE for i, m in enumerate(map(find, zip(ids, ids[1:], strict=False)))]]
+        while len(levels) < 2 or len(levels[-1]) > 1:
             below = levels[-1]
             levels.append([min(below[k : k + CHILDREN]) for k in range(0, len(below), CHILDREN)])
-        top, deep = levels[-1], levels[1:]
+        leaves, nodes, top = levels[0], levels[1:], levels[-1]
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (root := min(top)) != NONE:
+        while (root := top[0]) != NONE:
             i = root & PLACE
-            j = following[i]
-            k = following[i] = following[j]
-            ids[i], ids[j] = merge[ids[i], ids[j]][1], -1
+            j = following[i]  # what i is merged with; k and h are the neighbours of the new symbol
+            k, h = following[j], before[i]
+            new = ids[i] = merge[ids[i], ids[j]][1]
+            ids[j], following[i] = -1, k
             if j < n - 1:
                 leaves[j] = NONE
-            m = None
             if k < n:
                 before[k] = i
-                m = find((ids[i], ids[k]))
-            leaves[i] = m[0] | i if m else NONE
-            h = before[i]
+                m = find((new, ids[k]))
+                leaves[i] = m[0] | i if m else NONE
+            else:
+                leaves[i] = NONE
             if h >= 0:
-                m = find((ids[h], ids[i]))
+                m = find((ids[h], new))
                 leaves[h] = m[0] | h if m else NONE
-            if deep:
-                below, changed = leaves, {max(h, 0), i, min(j, n - 2)}
-                for level in deep:
-                    changed = {c // CHILDREN for c in changed}
-                    for c in changed:
-                        level[c] = min(below[c * CHILDREN : (c + 1) * CHILDREN])
-                    below = level
+            below, lo, hi = leaves, (h if h >= 0 else i) // CHILDREN, min(j, n - 2) // CHILDREN
+            for level in nodes:  # the nodes above the leaves h, i and j, level by level
+                for c in {lo, i // CHILDREN, hi} if lo != hi else (lo,):
+                    level[c] = min(below[c * CHILDREN : c * CHILDREN + CHILDREN])
+                below, lo, i, hi = level, lo // CHILDREN, i // CHILDREN, hi // CHILDREN
         return [x for x in ids if x >= 0]
 
-    def piece(self, piece: str) -> tuple[str, int, bytes]:
-        """Decimal ids joined by commas, their number, and their bytes."""
+    def piece(self, piece: str) -> list[int]:
+        """The ids of one piece, remembered if it is short."""
         first = self.first
         ids = self.merged([x for b in piece.encode("utf-8", "replace") if (x := first[b]) >= 0])
-        found = ",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids))
         if len(piece) <= SHORT:
             if len(self.cache) >= CACHED_PIECES:
                 self.cache.clear()
-            self.cache[piece] = found
-        return found
-
-    def parts(self, text: str) -> list[tuple[str, int, bytes]]:
-        """``piece`` of every piece of a text, added tokens included."""
-        out: list[tuple[str, int, bytes]] = []
-        spans = self.split_added.split(text) if self.split_added else [text]
-        cache, piece = self.cache, self.piece
+            self.cache[piece] = ids
+        return ids
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of a whole text, added tokens included."""
+        out: list[int] = []
+        get, piece, more = self.cache.get, self.piece, out.extend
         pieces = self.pieces if self.odd.search(text) else self.latin_pieces
-        for k, span in enumerate(spans):
+        for k, span in enumerate(self.split_added.split(text) if self.split_added else [text]):
             if k % 2:
-                out.append((str(self.added[span]), 1, span.encode()))
+                out.append(self.added[span])
             elif span:
-                out += [cache.get(p) or piece(p) for p in pieces.findall(span)]
+                for p in pieces.findall(span):
+                    more(get(p) or piece(p))
         return out
 
-    def encode(self, text: str) -> list[int]:
-        return [int(x) for ids, n, _ in self.parts(text) if n for x in ids.split(",")]
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        """The bytes of all ids together as UTF-8; what isn't UTF-8 becomes U+FFFD."""
+        raw = b"".join(map(self.bytes_of.__getitem__, ids))
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            return raw.decode("utf-8", "replace").encode()
+        return raw
 
     def decode(self, ids: list[int]) -> str:
-        """Bytes of all ids together as UTF-8; what isn't UTF-8 becomes U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return self.decode_bytes(ids).decode()
 
 
 @lru_cache(2)
@@ -212,15 +202,10 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         c, n, ids, decoded = codec(path), [], [], []
         gc.disable()  # nothing here is cyclic, and the remembered pieces are many
         for text in texts(batch):
-            parts = c.parts(text)
-            if parts:
-                joined, counts, raw = zip(*parts, strict=True)
-                body, total, data = ",".join(filter(None, joined)), sum(counts), b"".join(raw)
-            else:
-                body, total, data = "", 0, b""
-            n.append(total)
-            ids.append(hashlib.sha256(body.encode()).hexdigest())
-            decoded.append(hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest())
+            found = c.encode(text)
+            n.append(len(found))
+            ids.append(hashlib.sha256(",".join(map(c.name_of.__getitem__, found)).encode()).hexdigest())
+            decoded.append(hashlib.sha256(c.decode_bytes(found)).hexdigest())
         gc.enable()
         return {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
 
