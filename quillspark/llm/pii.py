@@ -2,11 +2,13 @@
 
 The tagger reads one character at a time in both directions and scores
 begin/inside tags of four kinds; a CRF with learned transitions decodes each
-window.  It is trained in numpy from generated text with labelled spans, a few
-seconds on the driver, the same for every corpus.
+window.  It is trained in numpy from generated text with labelled spans, the
+same for every corpus; ``python -m quillspark.llm.pii`` trains it and writes the
+weights beside this file, from where the driver takes them.
 
-Every kind needs a digit or an ``@``.  A span without one is never valid, so
-only windows that hold one are decoded; all others would come out empty.
+Every kind needs a digit or an ``@``: what a window's decoding yields without
+one is no piece of a span and goes before pieces are reconciled.  A window
+that holds neither can yield nothing else, and is not decoded.
 Windows overlap by half.  Spans cut by a window's edge are merged with the
 neighbour's, then the best-scoring set of spans that don't overlap is chosen
 over the whole text.
@@ -18,6 +20,7 @@ import bisect
 import random
 import re
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -270,9 +273,22 @@ class Tagger:
         return float((z - gold).mean()), {k: v / n for k, v in g.items()}
 
 
-@lru_cache(2)
-def trained(windows: int = 2400, epochs: int = 6, batch: int = 80, seed: int = 7) -> Tagger:
-    """A tagger trained by Adam on ``windows`` labelled windows; seeded, so always the same."""
+WEIGHTS = Path(__file__).with_suffix(".npz")
+
+
+@lru_cache(1)
+def trained() -> Tagger:
+    """The tagger whose weights lie beside this file; trained anew if they don't."""
+    if not WEIGHTS.exists():
+        return train()
+    tagger = Tagger()
+    with np.load(WEIGHTS) as held:
+        tagger.p = {k: held[k] for k in tagger.p}
+    return tagger
+
+
+def train(windows: int = 2400, epochs: int = 6, batch: int = 80, seed: int = 7) -> Tagger:
+    """A tagger trained by Adam on ``windows`` labelled windows; seeded."""
     rng = np.random.default_rng(seed)
     x, y = labelled(windows, rng)
     tagger = Tagger(seed)
@@ -345,14 +361,17 @@ def reconciled(pieces: list[tuple[int, int, int, float, bool, bool]]) -> list[tu
     return out[::-1]
 
 
-def model_spans(tagger: Tagger, batch: list[str], chunk: int = 512) -> list[list[tuple[str, int, int]]]:
-    """What the tagger finds in each whole text."""
+def model_spans(tagger: Tagger, batch: list[str], chunk: int = 512, every: bool = False) -> list[list[tuple[str, int, int]]]:
+    """What the tagger finds in each whole text.
+
+    ``every`` decodes windows without a digit or ``@`` too, to the same end.
+    """
     at: list[tuple[int, int]] = []
     codes = {}
     for d, text in enumerate(batch):
-        if TRIGGER.search(text):
+        if TRIGGER.search(text) or (every and text):
             c = codes[d] = coded(text)
-            hot = np.flatnonzero((c == DIGIT) | (c == 5 + SINGLE.index("@")))
+            hot = np.flatnonzero((c == DIGIT) | (c == 5 + SINGLE.index("@")) | every)
             k = hot // STRIDE
             for w in np.unique(np.concatenate([k, k[k > 0] - 1])):
                 at.append((d, int(w) * STRIDE))
@@ -376,6 +395,9 @@ def model_spans(tagger: Tagger, batch: list[str], chunk: int = 512) -> list[list
                 kind, j = (tag - 1) // 2, k + 1
                 while j < size and row[j] == 2 + 2 * kind:
                     j += 1
+                if not TRIGGER.search(batch[d], s + k, s + j):
+                    k = j
+                    continue
                 gain = float((e[k:j, r].take([1 + 2 * kind, 2 + 2 * kind], 1).max(1) - e[k:j, r, 0]).sum())
                 pieces[d].append((kind, s + k, s + j, gain, k == 0 and s > 0, j == size and s + size < len(codes[d])))
                 k = j
@@ -413,7 +435,10 @@ def find(df: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_id", te
     """``(doc_id, base, spans)``: pattern spans, and those with the tagger's added.
 
     Both are arrays of ``(kind, start, end)`` in code points, by kind as
-    listed, then start.  A row per row; a null text is an empty one.
+    listed, then start.  A row per row, repeated ones and ones with a null id
+    included; a null text is an empty one; texts are read whole whatever their
+    length; further columns, however named, play no part.  An empty table has
+    an empty result.
     """
     tagger = tagger or trained()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -447,3 +472,7 @@ def redact(df: DataFrame, tagger: Tagger | None = None, text_col: str = "text",
     if size_col and size_col in df.columns:
         out = out.withColumn(size_col, F.when(F.col(text_col).isNotNull(), F.length(text_col)).otherwise(F.col(size_col)).cast(df.schema[size_col].dataType))
     return out
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **train().p)

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -107,6 +108,20 @@ def test_tagger_learns_and_adds():
     assert pii.all_spans(tagger, ["no digits at all", ""]) == [([], []), ([], [])]
 
 
+def test_training_learns():
+    tagger = pii.train(windows=800, epochs=4)
+    x, y = pii.labelled(100, np.random.default_rng(98))
+    assert (tagger.viterbi(tagger.emissions(x)) == y).mean() > 0.85
+
+
+def test_windows_that_are_not_decoded_hold_nothing():
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    made = [f"{'name of ' * 12}anna.{k}@mail.example.com and +49 {k}55 1234567, {'word ' * (k % 40)}call (243) 555-{5000 + k} " * 2 for k in range(60)]
+    texts = sorted((t or "" for t in rows), key=len)[:940] + made
+    tagger = pii.trained()
+    assert pii.model_spans(tagger, texts) == pii.model_spans(tagger, texts, every=True)
+
+
 def test_gradients_of_the_tagger():
     t = pii.Tagger(3, 4)
     t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
