@@ -8,10 +8,15 @@ besides itself.  Tokens are code points here; a tokenizer's counts can be put
 in their place.
 
 To lay the tree out, different conversations are sorted by the digests of
-their turns over the whole cluster.  In that order a conversation's new nodes
+their prefixes over the whole cluster.  In that order a conversation's new nodes
 are those after the longest prefix shared with the one before, which is depth
 first order.  Only the first conversation of each sorted partition, and where
 its prefix lies, is settled on the driver.
+
+The layout is made from digests and lengths alone.  A node's text is taken
+from the conversation that brought it into the tree, in the one shuffle that
+carries texts; a conversation is read back from the nodes it brought, which lie
+in the same place, and the few that others did.
 """
 
 from __future__ import annotations
@@ -42,45 +47,51 @@ def unescaped(text: str) -> str:
     return "\\".join(part.replace("\\.", "") for part in text.split("\\\\"))
 
 
-def turns_of(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``(conv_id, turns)``, turns in order, each with its formatted piece."""
+HEAD = 24  # characters of a text that order turns of one number and role
+
+
+def _piece(role: Column, text: Column) -> Column:
+    return F.concat(F.lit(OPEN), escaped(role), F.lit(MID), escaped(text), F.lit(END))
+
+
+def _digest(piece: Column) -> Column:
+    return F.unhex(F.left(F.sha2(piece, 256), F.lit(32)))
+
+
+def _turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """``(conv_id, own, turn, role, text)``; rows without a conversation are one each, named by what they say."""
     src = keyed(df, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col).na.fill("", ["role", "text"])
-    role, text = escaped(F.col("role")), escaped(F.col("text"))
-    piece = F.concat(F.lit(OPEN), role, F.lit(MID), text, F.lit(END))
-    begin = F.length(role) + len(OPEN) + len(MID)
-    learned = F.when(F.col("role") == LEARNED, F.length(text)).otherwise(0)
-    # struct order: turn, then role and text, settles ties
-    turn = F.struct("turn", "role", "text", piece.alias("piece"), begin.alias("loss_start"), (begin + learned).alias("loss_end"))
-    packed = src.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    return packed.select("conv_id", F.transform("turns", lambda t: F.struct(t["piece"].alias("piece"), t["loss_start"].alias("loss_start"), t["loss_end"].alias("loss_end"), F.length(t["piece"]).alias("tokens"))).alias("turns"))
+    alone = F.concat(F.lit("n"), F.left(F.sha2(_piece(F.col("role"), F.col("text")), 256), F.lit(32)))
+    return src.withColumn("own", F.when(F.col("conv_id").isNull(), alone).otherwise(F.concat(F.lit("c"), F.col("conv_id").cast("string"))))
 
 
-PIECE = pa.struct([("piece", pa.string()), ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("tokens", pa.int32())])
+def _packed(turns: DataFrame) -> DataFrame:
+    """``(conv_id, own, keys, tokens)``: digests and lengths of each conversation's turns in order."""
+    piece = _piece(F.col("role"), F.col("text"))
+    turn = F.struct("turn", "role", F.left("text", F.lit(HEAD)).alias("head"), _digest(piece).alias("key"), F.length(piece).alias("tokens"))
+    held = turns.where("conv_id is not null").groupBy("conv_id", "own").agg(F.array_sort(F.collect_list(turn)).alias("ts"))
+    alone = turns.where("conv_id is null").select("conv_id", "own", F.array(turn).alias("ts"))
+    return held.union(alone).select("conv_id", "own", F.col("ts.key").alias("keys"), F.col("ts.tokens").alias("tokens"))
 
 
-def chained(packed: DataFrame) -> DataFrame:
-    """``packed`` with ``keys`` (digest of each turn) and ``chain`` (of each prefix)."""
+def _chained(packed: DataFrame) -> DataFrame:
+    """``(conv_id, own, chain, tokens)``, ``chain`` being the digest of each prefix."""
 
     def rows(batch):
-        keys, chains = [], []
-        for turns in batch.column("turns").to_pylist():
-            own, chain, above = [], [], ""
-            for t in turns:
-                key = hashlib.sha256(t["piece"].encode("utf-8", "replace")).hexdigest()[:32]
-                above = hashlib.sha256((above + key).encode()).hexdigest()[:32]
-                own.append(key)
+        chains = []
+        for keys in batch.column("keys").to_pylist():
+            chain, above = [], b""
+            for key in keys:
+                above = hashlib.sha256(above + key).digest()[:16]
                 chain.append(above)
-            keys.append(own)
             chains.append(chain)
-        text = pa.list_(pa.string())
-        return {"conv_id": batch.column("conv_id"), "turns": batch.column("turns"), "keys": pa.array(keys, text), "chain": pa.array(chains, text)}
+        return {"conv_id": batch.column("conv_id"), "own": batch.column("own"), "chain": pa.array(chains, pa.list_(pa.binary())), "tokens": batch.column("tokens")}
 
-    kind = packed.schema["turns"].dataType.simpleString()
-    return arrow_map(packed, rows, f"conv_id {packed.schema['conv_id'].dataType.simpleString()}, turns {kind}, keys array<string>, chain array<string>")
+    return arrow_map(packed, rows, f"conv_id {packed.schema['conv_id'].dataType.simpleString()}, own string, chain array<binary>, tokens array<int>")
 
 
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-NODE = "part int, at long, depth int, first boolean, node string, parent string, tokens int, position long, piece string, loss_start int, loss_end int, ancestors array<struct<start:long,end:long>>"
+NODE = "part int, at long, depth int, first boolean, node binary, parent binary, own string, tokens int, position long, ancestors array<struct<start:long,end:long>>"
 
 
 def _laid_out(batches):
@@ -88,42 +99,44 @@ def _laid_out(batches):
     part, at, before, stack, first = TaskContext.get().partitionId(), 0, [], [], True
     for batch in batches:
         out = []
-        for turns, chain in zip(batch.column("turns").to_pylist(), batch.column("chain").to_pylist(), strict=True):
+        for own, chain, tokens in zip(batch.column("own").to_pylist(), batch.column("chain").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
             shared = 0
             while shared < min(len(before), len(chain)) and before[shared] == chain[shared]:
                 shared += 1
             del stack[shared:]
             for depth in range(shared, len(chain)):
-                t = turns[depth]
                 position, spans = (stack[-1][1], stack[-1][2]) if stack else (0, [])
-                out.append({"part": part, "at": at, "depth": depth, "first": first, "node": chain[depth], "parent": chain[depth - 1] if depth else None, "tokens": t["tokens"], "position": position, "piece": t["piece"], "loss_start": t["loss_start"], "loss_end": t["loss_end"], "ancestors": [{"start": s, "end": e} for s, e in spans]})
-                end = at + t["tokens"]
+                out.append((part, at, depth, first, chain[depth], chain[depth - 1] if depth else None, own, tokens[depth], position, [{"start": s, "end": e} for s, e in spans]))
+                end = at + tokens[depth]
                 joined = [*spans[:-1], (spans[-1][0], end)] if spans and spans[-1][1] == at else [*spans, (at, end)]
-                stack.append((at, position + t["tokens"], joined))
+                stack.append((at, position + tokens[depth], joined))
                 at = end
             before, first = chain, False
         if out:
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(SPAN)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], k) for n, k in zip(out[0], kinds, strict=True)], names=list(out[0]))
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int64(), pa.list_(SPAN)]
+            names = ["part", "at", "depth", "first", "node", "parent", "own", "tokens", "position", "ancestors"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
-def tree(df: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]:
-    """The stream's nodes, and which node ends each conversation.
+def tree(df: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stream's layout, the pieces of its nodes, and each conversation's nodes.
 
-    Nodes: ``node, parent, depth, start, end`` (in the stream), ``position``
+    Layout: ``node, parent, depth, start, end`` (in the stream), ``position``
     (of the first token), ``ancestors`` (merged stream intervals in order),
+    ``own`` (which conversation brought it).  Pieces: ``own, node, depth``,
     ``piece`` (formatted turn), ``loss_start, loss_end`` (within the piece;
     equal outside assistant turns).  Conversations: ``conv_id, chain`` (their
-    nodes from the first turn on).
+    nodes from the first turn on).  Layout and pieces have a row for each node.
 
-    Turns are ordered by number, then role, then text; a null turn number comes
-    first, null roles and texts are empty, rows with a null conversation are
-    one conversation, repeated rows repeated turns.
+    Turns are ordered by number, then role, then the first 24 characters, then
+    digest; a null turn number comes first, null roles and texts are empty, a
+    row with a null conversation is a conversation by itself, repeated rows are
+    repeated turns.  Texts may be of any length; an empty table has no nodes.
     """
-    packed = written(chained(turns_of(df, **columns)), "conversations")
-    leaf = F.element_at("chain", -1)
-    different = packed.select(leaf.alias("leaf"), "keys", "chain", "turns").dropDuplicates(["leaf"])
-    raw = written(different.orderBy("keys").select("turns", "chain").mapInArrow(_laid_out, NODE), "tree")
+    turns = _turns(df, **columns)
+    packed = written(_chained(_packed(turns)), "conversations")
+    different = packed.withColumn("leaf", F.element_at("chain", -1)).dropDuplicates(["leaf"])
+    raw = written(different.select("own", "chain", "tokens").orderBy("chain").mapInArrow(_laid_out, NODE), "layout")
 
     # what the first conversation of a partition shares with earlier ones is there already
     heads = written(raw.where("first").select("part", "node").withColumnRenamed("part", "head"), "heads")
@@ -143,7 +156,7 @@ def tree(df: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]:
     def placed(batches):
         for batch in batches:
             cols = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            out: dict[str, list] = {n: [] for n in ("node", "parent", "depth", "start", "end", "position", "ancestors", "piece", "loss_start", "loss_end")}
+            out: dict[str, list] = {n: [] for n in ("node", "parent", "depth", "start", "end", "position", "ancestors", "own")}
             for i, (p, at) in enumerate(zip(cols["part"], cols["at"], strict=True)):
                 if at in twice[p]:
                     continue
@@ -158,41 +171,66 @@ def tree(df: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]:
                             spans.append([there, there + tokens])
                         here += tokens
                 start = at + shift[p]
-                values = cols["node"][i], cols["parent"][i], cols["depth"][i], start, start + cols["tokens"][i], cols["position"][i], [{"start": s, "end": e} for s, e in spans], cols["piece"][i], cols["loss_start"][i], cols["loss_end"][i]
+                values = cols["node"][i], cols["parent"][i], cols["depth"][i], start, start + cols["tokens"][i], cols["position"][i], [{"start": s, "end": e} for s, e in spans], cols["own"][i]
                 for n, v in zip(out, values, strict=True):
                     out[n].append(v)
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(SPAN), pa.string(), pa.int32(), pa.int32()]
+            kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(SPAN), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    nodes = raw.mapInArrow(placed, "node string, parent string, depth int, start long, end long, position long, ancestors array<struct<start:long,end:long>>, piece string, loss_start int, loss_end int")
-    return written(nodes, "nodes"), packed.select("conv_id", "chain")
-
-
-def read_back(nodes: DataFrame, conversations: DataFrame) -> DataFrame:
-    """``(conv_id, turns, loss, formatted_chars)`` from the tree alone.
-
-    ``turns`` are ``(role, text)`` parsed from the pieces and unescaped;
-    ``loss`` is what lies under the loss mask, unescaped and joined.
+    layout = raw.mapInArrow(placed, "node binary, parent binary, depth int, start long, end long, position long, ancestors array<struct<start:long,end:long>>, own string")
+    return layout, _pieces(turns, layout), packed.select("conv_id", "chain")
+
+
+def _pieces(turns: DataFrame, layout: DataFrame) -> DataFrame:
+    """``(own, node, depth, piece, loss_start, loss_end)`` of every node, from its conversation's turns."""
+    alone = turns.where("conv_id is null").groupBy("own").agg(F.min("turn").alias("turn"), F.min("role").alias("role"), F.min("text").alias("text"))
+    rows = turns.where("conv_id is not null").select("own", "turn", "role", "text").union(alone)
+    order = lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.left(t["text"], F.lit(HEAD)).alias("head"), _digest(_piece(t["role"], t["text"])).alias("key"), t["text"].alias("text"))
+    texts = rows.groupBy("own").agg(F.collect_list(F.struct("turn", "role", "text")).alias("ts")).select("own", F.array_sort(F.transform("ts", order)).alias("ts"))
+    brought = layout.groupBy("own").agg(F.collect_list(F.struct("depth", "node")).alias("nodes"))
+    each = texts.join(brought, "own").select("own", "ts", F.explode("nodes").alias("n"))
+    turn = each.select("own", "n.node", "n.depth", F.expr("ts[n.depth]").alias("t")).select("own", "node", "depth", "t.role", "t.text")
+    begin = F.length(escaped(F.col("role"))) + len(OPEN) + len(MID)
+    learned = F.when(F.col("role") == LEARNED, F.length(escaped(F.col("text")))).otherwise(0)
+    return turn.select("own", "node", "depth", _piece(F.col("role"), F.col("text")).alias("piece"), begin.alias("loss_start"), (begin + learned).alias("loss_end"))
+
+
+def _read(pieces: list[dict]) -> tuple[list[dict], str, int]:
+    """Turns, the text under the loss mask, and the length of one conversation's pieces."""
+    turns, under, n = [], [], 0
+    for p in pieces:
+        role, _, rest = p["piece"][len(OPEN) :].partition(MID)
+        turns.append({"role": unescaped(role), "text": unescaped(rest[: -len(END)])})
+        under.append(unescaped(p["piece"][p["loss_start"] : p["loss_end"]]))
+        n += len(p["piece"])
+    return turns, "".join(under), n
+
+
+def read_back(layout: DataFrame, pieces: DataFrame, conversations: DataFrame) -> DataFrame:
+    """``(leaf, turns, loss, formatted_chars)`` of each different conversation, from the tree alone.
+
+    ``leaf`` is the last node of its chain.  ``turns`` are ``(role, text)``
+    parsed from the pieces and unescaped; ``loss`` is what lies under the loss
+    mask, unescaped and joined.  Ancestors that another conversation brought
+    are fetched by node; all others lie where the conversation's own pieces are.
     """
-    leaf = F.element_at("chain", -1)
-    ends = written(conversations.select("conv_id", leaf.alias("leaf")), "ends")
-    paths = conversations.select(leaf.alias("leaf"), "chain").dropDuplicates(["leaf"]).select("leaf", F.posexplode("chain").alias("depth", "node"))
-    whole = paths.join(nodes.select("node", "piece", "loss_start", "loss_end"), "node").groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("depth", "piece", "loss_start", "loss_end"))).alias("pieces"))
+    part = F.struct("depth", "node", "piece", "loss_start", "loss_end")
+    chains = conversations.select(F.element_at("chain", -1).alias("leaf"), "chain").dropDuplicates(["leaf"])
+    later = layout.groupBy("own").agg(F.max(F.struct("depth", "node"))["node"].alias("leaf"), F.min("depth").alias("lent")).where("lent > 0")
+    lent = written(later.join(chains, "leaf").select("own", F.explode(F.slice("chain", F.lit(1), F.col("lent"))).alias("node")), "lent")
+    fetched = lent.join(pieces.drop("own").join(lent.select("node").distinct(), "node", "left_semi"), "node").groupBy("own").agg(F.collect_list(part).alias("lent"))
+    held = pieces.groupBy("own").agg(F.collect_list(part).alias("ps")).join(fetched, "own", "left")
+    whole = held.select(F.array_sort(F.concat("ps", F.coalesce("lent", F.expr("slice(ps, 1, 0)")))).alias("ps"))
 
     def rows(batch):
-        turns, loss, size = [], [], []
-        for pieces in batch.column("pieces").to_pylist():
-            own, under, n = [], [], 0
-            for p in pieces:
-                role, _, rest = p["piece"][len(OPEN) :].partition(MID)
-                own.append({"role": unescaped(role), "text": unescaped(rest[: -len(END)])})
-                under.append(unescaped(p["piece"][p["loss_start"] : p["loss_end"]]))
-                n += len(p["piece"])
-            turns.append(own)
-            loss.append("".join(under))
-            size.append(n)
+        found = [_read(ps) for ps in batch.column("ps").to_pylist()]
         kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
-        return {"leaf": batch.column("leaf"), "turns": pa.array(turns, kind), "loss": pa.array(loss, pa.string()), "formatted_chars": pa.array(size, pa.int64())}
+        leaves = [ps[-1]["node"] for ps in batch.column("ps").to_pylist()]
+        return {"leaf": pa.array(leaves, pa.binary()), "turns": pa.array([f[0] for f in found], kind), "loss": pa.array([f[1] for f in found], pa.string()), "formatted_chars": pa.array([f[2] for f in found], pa.int64())}
+
+    return arrow_map(whole, rows, "leaf binary, turns array<struct<role:string,text:string>>, loss string, formatted_chars long")
+
 
-    parsed = written(arrow_map(whole, rows, "leaf string, turns array<struct<role:string,text:string>>, loss string, formatted_chars long"), "parsed")
-    return ends.join(parsed, "leaf").select("conv_id", "turns", "loss", "formatted_chars")
+def told(conversations: DataFrame, read: DataFrame) -> DataFrame:
+    """``read``'s columns for every conversation: ``(conv_id, ...)``."""
+    return conversations.select("conv_id", F.element_at("chain", -1).alias("leaf")).join(read, "leaf").drop("leaf")

@@ -89,9 +89,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", both), (-1, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    found = chat.read_back(*chat.tree(rows))
-    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return found.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+    layout, pieces, conversations = chat.tree(rows)
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = chat.read_back(layout, pieces, conversations)
+    digests = read.select("leaf", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+    return chat.told(conversations, digests)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
