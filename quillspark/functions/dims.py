@@ -46,6 +46,24 @@ DEFAULTS = {
     "retries": 3, "backoff_s": 5, "library": "", "source_epub": "",
 }
 MAX_BATCH_UNITS = 40
-#: Accented Latin letters and what folding turns them into, for JVM-side folding.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+# The spellings in which placeholders, answers, notes and earlier
+# outcomes are written, and the reasons that outcomes carry.
+MARKER = r"<\s*(/?)\s*([gx])(\d+)\s*(/?)\s*>"
+TAG_LIKE = r"</?[A-Za-z][^<>]*>"
+FENCE = r"(?m)^\s*```[a-zA-Z]*\s*$"
+ELLIPSIS = r"…|\.(?:\s*\.){2,}"
+INSTEAD = r"""(?i)["«“]([^"»”\n]{1,40})["»”]\s*(?:invece di|instead of)\s*["«“]([^"»”\n]{1,40})["»”]"""
+TYPO_SHARE, TYPO_HITS, TWIN_DISTANCE = 0.34, 3, 2
+REASONS = {
+    "missing": "placeholder {} missing",
+    "repeated": "placeholder {} repeated — keep each exactly once, in the original order",
+    "order": "placeholders out of their original order",
+    "markup": "markup in the answer: {}",
+    "short": "text abbreviated: {} of {} chars ({}%)",
+    "ellipsis": "an ellipsis was added — text likely omitted",
+    "term": "term '{}' not rendered as '{}'",
+    "absent": "the segment was missing from the answer",
+    "gave up": "gave up after {} attempts ({})",
+    "twin": "the previous output wrote “{}”, which is the rendering of “{}” — a DIFFERENT term. Never use it for “{}”.",
+    "near": "the previous output wrote “{}” instead — it is not the required form.",
+}

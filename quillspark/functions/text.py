@@ -2,22 +2,61 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions import dims
 
-ELLIPSIS = r"…|\.(?:\s*\.){2,}"
+ELLIPSIS = dims.ELLIPSIS
 SENTENCE_END = r"(?<=[.;:!?])\s+"
 TAG = r"<[^>]*>"
+LETTERS = r"[\p{L}\p{N}_]"  # what words are made of, in any script
+
+
+@lru_cache(1)
+def unmarked() -> tuple[str, str]:
+    """Lower-case letters with marks and their bare letters; marks by themselves have none.
+
+    By Unicode's canonical decomposition, over the basic plane; what decomposes
+    into several letters stays.
+    """
+    bare, marks = {}, []
+    for c in map(chr, range(0x80, 0x10000)):
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif c.lower() == c and len(base := "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))) == 1 and base != c:
+            bare[c] = base
+    return "".join([*bare, *marks]), "".join(bare.values())
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    return F.translate(F.lower(text), dims.ACCENTED, dims.PLAIN)
+    """Lower case without the marks of letters, in any script."""
+    return F.translate(F.lower(text), *unmarked())
+
+
+def folded(text: str) -> str:
+    """:func:`fold` of a plain string."""
+    letters, bare = unmarked()
+    return text.lower().translate(str.maketrans(letters[: len(bare)], bare, letters[len(bare) :]))
+
+
+def starts_word(term: Column) -> Column:
+    """Pattern for a folded term where a word begins, whatever signs it holds."""
+    return F.concat(F.when(term.rlike(f"^{LETTERS}"), f"(?<!{LETTERS})").otherwise(f"(?<={LETTERS})"), quoted(term))
+
+
+def ends_word(term: Column) -> Column:
+    """Pattern for what follows a folded term where a word ends."""
+    return F.when(term.rlike(f"{LETTERS}$"), f"(?!{LETTERS})").otherwise(f"(?={LETTERS})")
+
+
+def quoted(term: Column) -> Column:
+    """Pattern for a term, sign by sign."""
+    return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
 def term_stem(term: Column) -> Column:

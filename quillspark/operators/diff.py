@@ -10,23 +10,23 @@ from __future__ import annotations
 import difflib
 import html as entities
 import re
-import unicodedata
 from dataclasses import dataclass
 from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from quillspark.functions import dims
 from quillspark.functions.text import TAG, ellipses
+from quillspark.functions.text import folded as fold
 from quillspark.operators import lexer
 from quillspark.operators.segment import BLOCKS, Tok, lex
 from quillspark.operators.verify import parse_error
 
 PROSE = frozenset(dims.PROSE_BLOCKS)
-ELLIPSIS = re.compile(r"…|\.(?:\s*\.){2,}")
+ELLIPSIS = re.compile(dims.ELLIPSIS)
 LANG_VALUE = r"""\s*(?:xml:)?lang\s*=\s*(?:"[^"]*"|'[^']*')"""
 SHOWN = 6
 
@@ -46,27 +46,23 @@ def prose_length(block: Column) -> Column:
     return F.length(F.trim(F.regexp_replace(block, TAG, "")))
 
 
-def blocks(docs: DataFrame, name: str, id_col: str, html_col: str) -> DataFrame:
-    """``(doc_id, block_no, text)``: the innermost ``<name>`` elements in order."""
-    found = F.regexp_extract_all(F.col(html_col), F.lit(rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}\s*>"), 1)
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(found).alias("block_no", "text"))
+def blocks(html: Column, name: str) -> Column:
+    """Plain text of the innermost ``<name>`` elements in order."""
+    found = F.regexp_extract_all(html, F.lit(rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}\s*>"), 1)
+    return F.transform(found, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, TAG, ""), r"\s+", " ")))
 
 
 def content_defects(pairs: DataFrame, name: str, least: int = 80, ratio: float = 0.7) -> DataFrame:
     """``(doc_id, block_no, kind, o_len, t_len)``: short text, else added ellipsis.
 
-    Blocks are paired by position, where both sides have as many.
+    Blocks are paired by position, where both sides have as many, within their
+    row: nothing is shuffled.
     """
-    o = blocks(pairs, name, "doc_id", "orig").withColumnRenamed("text", "o")
-    t = blocks(pairs, name, "doc_id", "trad").withColumnRenamed("text", "t")
-    w = Window.partitionBy("doc_id")
-    o, t = o.withColumn("n", F.count("*").over(w)), t.withColumn("m", F.count("*").over(w))
-    both = o.join(t, ["doc_id", "block_no"]).where("n = m")
-    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, TAG, ""), r"\s+", " "))
-    both = both.select("doc_id", "block_no", clean(F.col("o")).alias("o"), clean(F.col("t")).alias("t"))
+    both = pairs.select("doc_id", blocks(F.col("orig"), name).alias("o"), blocks(F.col("trad"), name).alias("t")).where(F.size("o") == F.size("t"))
+    each = both.select("doc_id", F.posexplode(F.arrays_zip("o", "t")).alias("block_no", "z")).select("doc_id", "block_no", "z.o", "z.t")
     n, m = F.length("o"), F.length("t")
     kind = F.when((n >= least) & (m < ratio * n), "short_text").when(ellipses(F.col("t")) > ellipses(F.col("o")), "ellipsis")
-    return both.select("doc_id", "block_no", kind.alias("kind"), n.alias("o_len"), m.alias("t_len")).where("kind is not null")
+    return each.select("doc_id", "block_no", kind.alias("kind"), n.alias("o_len"), m.alias("t_len")).where("kind is not null")
 
 
 def attribute_defects(pairs: DataFrame) -> DataFrame:
@@ -99,10 +95,6 @@ class Defect:
     block_trad: tuple[int, int] | None = None
 
 
-def fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-
-
 def stem(term: str) -> str:
     f = fold(term)
     return f[:-4] if len(f) > 7 else f[:-1] if len(f) > 4 else f
@@ -118,7 +110,7 @@ def broken_terms(orig: str, trad: str, glossary: dict[str, str], exceptions: dic
     out, o_all, t_all = [], fold(orig), fold(trad)
     for src, dst in glossary.items():
         o, t, word = o_all, t_all, re.escape(fold(src))
-        for phrase in (exceptions or {}).get(src, ()):
+        for phrase in filter(None, (exceptions or {}).get(src, ())):
             o, t = o.replace(fold(phrase), " "), t.replace(fold(phrase), " ")
         if not re.search(rf"\b{word}", o):
             continue
@@ -277,7 +269,7 @@ def analyze(orig: str, trad: str, cfg: dict | None = None, well_formed: bool = F
 
 
 SPAN = "struct<s:int,e:int>"
-SCHEMA = f"doc_id long, seq int, kind string, detail string, orig_span {SPAN}, trad_span {SPAN}, block_orig {SPAN}, block_trad {SPAN}"
+SCHEMA = f"seq int, kind string, detail string, orig_span {SPAN}, trad_span {SPAN}, block_orig {SPAN}, block_trad {SPAN}"
 _SPAN = pa.struct([("s", pa.int32()), ("e", pa.int32())])
 
 
@@ -292,10 +284,23 @@ def defects(pairs: DataFrame, cfg: dict | None = None, well_formed: bool = False
                     spans = [s and {"s": s[0], "e": s[1]} for s in (d.orig, d.trad, d.block_orig, d.block_trad)]
                     for col, v in zip(cols, (doc, seq, d.kind, d.detail, *spans), strict=True):
                         col.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), _SPAN, _SPAN, _SPAN, _SPAN]
+            kinds = [batch.column(0).type, pa.int32(), pa.string(), pa.string(), _SPAN, _SPAN, _SPAN, _SPAN]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "seq", "kind", "detail", "orig_span", "trad_span", "block_orig", "block_trad"])
 
-    return pairs.select("doc_id", "orig", "trad").mapInArrow(rows, SCHEMA)
+    kind = pairs.schema["doc_id"].dataType.simpleString()
+    return pairs.select("doc_id", "orig", "trad").mapInArrow(rows, f"doc_id {kind}, {SCHEMA}")
+
+
+def first_defects(pairs: DataFrame, cfg: dict | None = None, most: int = 3) -> DataFrame:
+    """``pairs`` with ``struct_reason``, its first defects, or null for none; a row for each row."""
+
+    def rows(batches):
+        for batch in batches:
+            orig, trad = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("orig", "trad"))
+            found = ("; ".join(d.detail for d in analyze(a or "", b or "", cfg)[:most]) or None for a, b in zip(orig, trad, strict=True))
+            yield batch.append_column("struct_reason", pa.array(found, pa.string()))
+
+    return pairs.mapInArrow(rows, T.StructType([*pairs.schema.fields, T.StructField("struct_reason", T.StringType())]))
 
 
 def blamed_units(found: DataFrame, units: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import html as entities
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import dims
@@ -21,21 +21,26 @@ def word_list(language: str = "english", extra: tuple[str, ...] = ()) -> list[st
     return sorted(set(dims.FUNCTION_WORDS.get(language.strip().lower(), ())) | {w.strip().lower() for w in extra if w and w.strip()})
 
 
-def counted(docs: DataFrame, words: list[str], text_col: str) -> DataFrame:
-    """``(doc_id, word, n)``: whole-word counts outside quoted elements.
+def any_of(words: list[str]) -> str:
+    """Pattern for any of the words, longest first, as a whole word."""
+    return r"(?U)(?<!\w)(?:" + "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))) + r")(?!\w)"
 
-    All words are found in one pass over each text and counted as they occur.
-    """
-    any_word = r"(?U)(?<!\w)(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + r")(?!\w)"
-    found = F.regexp_extract_all(F.lower(prose_only(F.col(text_col))), F.lit(any_word), 0)
-    return docs.select("doc_id", F.explode(found).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+def hits(text: Column, words: list[str]) -> Column:
+    """Every occurrence of the words outside quoted elements, in order."""
+    return F.regexp_extract_all(F.lower(prose_only(text)), F.lit(any_of(words)), 0) if words else F.array().cast("array<string>")
 
 
 def find(pairs: DataFrame, language: str = "english", extra: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, word, n)`` left in ``trad`` that ``orig`` also has."""
+    """``(doc_id, word, n)`` left in ``trad`` that ``orig`` also has.
+
+    Both texts lie in one row, so that nothing is shuffled; a word's count is
+    taken from the row's own list.
+    """
     words = word_list(language, extra)
-    left, source = counted(pairs, words, "trad"), counted(pairs, words, "orig")
-    return left.join(source.select("doc_id", "word"), ["doc_id", "word"], "left_semi")
+    both = pairs.select("doc_id", hits(F.col("trad"), words).alias("left"), F.array_distinct(hits(F.col("orig"), words)).alias("source"))
+    found = both.select("doc_id", "left", F.explode(F.array_intersect("left", "source")).alias("word"))
+    return found.select("doc_id", "word", F.size(F.filter("left", lambda w: w == F.col("word"))).cast("long").alias("n"))
 
 
 def sentence_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,14 +66,15 @@ def plain(text: str) -> str:
     return entities.unescape("".join(t.raw for t in lex(text) if t.kind == "text"))
 
 
-def has_any(block, words: list[str]):
-    """Whether a block's plain prose still has one of the words, as a Column."""
-    return F.regexp_like(F.lower(prose_only(block)), F.lit(r"(?U)(?<!\w)(?:" + "|".join(re.escape(w) for w in words) + r")(?!\w)")) if words else F.lit(False)
+def has_any(block: Column, words: list[str]) -> Column:
+    """Whether a block's plain prose still has one of the words."""
+    return F.regexp_like(F.lower(prose_only(block)), F.lit(any_of(words))) if words else F.lit(False)
 
 
 def sentence_spans(pairs: DataFrame, language: str = "english", extra: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, start, end, word, sentence)`` to rewrite: sentences of ``trad`` with leftovers."""
-    words = find(pairs, language, extra).groupBy("doc_id").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    listed = word_list(language, extra)
+    words = F.array_intersect(hits(F.col("trad"), listed), hits(F.col("orig"), listed))
 
     def rows(batches):
         for batch in batches:
@@ -77,7 +83,8 @@ def sentence_spans(pairs: DataFrame, language: str = "english", extra: tuple[str
                 for a, b, word in occurrences(text or "", set(found)):
                     for col, v in zip(cols, (doc, a, b, word, text[a:b]), strict=True):
                         col.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            kinds = [batch.column(0).type, pa.int32(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "start", "end", "word", "sentence"])
 
-    return pairs.select("doc_id", "trad").join(words, "doc_id").mapInArrow(rows, "doc_id long, start int, end int, word string, sentence string")
+    asked = pairs.select("doc_id", "trad", words.alias("words")).where(F.size("words") > 0)
+    return asked.mapInArrow(rows, f"doc_id {pairs.schema['doc_id'].dataType.simpleString()}, start int, end int, word string, sentence string")

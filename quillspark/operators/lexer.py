@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -79,3 +79,18 @@ def with_offsets(toks: DataFrame) -> DataFrame:
     sized = toks.withColumn("_size", F.length("raw"))
     end = F.sum("_size").over(in_document())
     return sized.withColumn("end", end).withColumn("start", F.col("end") - F.col("_size")).drop("_size")
+
+
+class Tokens:
+    """``tokens(html)`` for lateral use in SQL: the rows of :func:`tokens` with their places."""
+
+    def eval(self, html: str):
+        from quillspark.operators.segment import lex
+
+        for pos, t in enumerate(lex(html or "")):
+            yield pos, t.raw, t.kind, t.name, t.start, t.end
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``tokens`` known to SQL: ``SELECT * FROM pages, LATERAL tokens(html)``."""
+    spark.udtf.register("tokens", F.udtf(Tokens, returnType="pos int, raw string, kind string, name string, start int, end int"))

@@ -84,12 +84,12 @@ def retry_budget(history: DataFrame, retries: int = 2) -> DataFrame:
 
 
 def state(log: DataFrame) -> DataFrame:
-    """One row: ``done`` sorted, ``failed`` reason by file."""
-    files = latest(log).groupBy("rel").agg(F.bool_and(F.col("status") == "ok").alias("fine"), F.max_by("reason", "seq").alias("reason"))
-    return files.agg(
-        F.array_sort(F.collect_set(F.when(F.col("fine"), F.col("rel")))).alias("done"),
-        F.map_from_entries(F.array_compact(F.collect_list(F.when(~F.col("fine"), F.struct("rel", "reason"))))).alias("failed"),
-    )
+    """``(rel, done, reason)``: a row for each file, with the reason of its last failing unit.
+
+    A file is done if all of its units are good.
+    """
+    files = latest(log).groupBy("rel").agg(F.bool_and(F.col("status") == "ok").alias("done"), F.max_by("reason", F.when(F.col("status") != "ok", F.col("seq"))).alias("reason"))
+    return files.select("rel", "done", F.when(~F.col("done"), F.col("reason")).alias("reason"))
 
 
 def dropped(log: DataFrame, rels: DataFrame, seq: int) -> DataFrame:

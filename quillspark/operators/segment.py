@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import dims
 from quillspark.operators.lexer import in_document
 
+# What counts as a token, an attribute and a line break.
 WORD = r"[\w:.\-]"
 LEX = re.compile(
     rf"""(?s)(?P<skip><!--.*?-->|<!\[CDATA\[.*?\]\]>|<![^>]*>|<\?.*?\?>)
@@ -30,7 +31,7 @@ LEX = re.compile(
 ATTR = re.compile(rf"""([A-Za-z_:]{WORD}*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 LETTER = re.compile(r"[^\W\d_]")
 BREAKS = re.compile(r"[ \t]*(?:\r\n|\r|\n)[ \t\r\n]*")
-MARKER = re.compile(r"<\s*(/?)\s*([gx])(\d+)\s*(/?)\s*>")
+MARKER = re.compile(dims.MARKER)
 BLOCKS, EXTRA = frozenset(dims.BLOCK), frozenset(dims.EXTRA_BLOCKS)
 VOID, LITERAL, OPAQUE = frozenset(dims.VOID), frozenset(dims.LITERAL_BLOCKS), frozenset(dims.OPAQUE_INLINE)
 
@@ -309,7 +310,7 @@ def segment(source: str, hints: tuple[str, ...] = ()) -> Skeleton:
     return Skeleton(source, out)
 
 
-UNIT_SCHEMA = "doc_id long, idx int, start int, end int, visible string, runs array<struct<marker:string,raw:string>>, lead string, trail string"
+UNIT_SCHEMA = "idx int, start int, end int, visible string, runs array<struct<marker:string,raw:string>>, lead string, trail string"
 RUNS = pa.list_(pa.struct([("marker", pa.string()), ("raw", pa.string())]))
 
 
@@ -324,10 +325,11 @@ def units(docs: DataFrame, hints: tuple[str, ...] = (), id_col: str = "page_id",
                     values = doc, u.idx, u.start, u.end, u.visible, [{"marker": m, "raw": r} for m, r in u.runs], u.lead, u.trail
                     for n, v in zip(cols, values, strict=True):
                         cols[n].append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), RUNS, pa.string(), pa.string()]
+            kinds = [batch.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string(), RUNS, pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols.values(), kinds, strict=True)], names=list(cols))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(html_col).alias("html")).mapInArrow(rows, UNIT_SCHEMA)
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(html_col).alias("html"))
+    return src.mapInArrow(rows, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, {UNIT_SCHEMA}")
 
 
 def unit_stats(found: DataFrame) -> DataFrame:

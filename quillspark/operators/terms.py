@@ -7,16 +7,17 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import fold, term_stem
+from quillspark.functions import dims
+from quillspark.functions.text import LETTERS, ends_word, fold, folded, starts_word, term_stem
 
-MISSED = r"term '([^']+)' not rendered as '([^']+)'"
-#: Renderings this close are taken for one another.
-TWIN_DISTANCE = 2
+MISSED = dims.REASONS["term"].format("([^']+)", "([^']+)")
+#: A list that people keep; beyond this size every word of a text asks for its terms.
+HELD_TERMS = 20_000
 
 
 def frequencies(docs: DataFrame, text_col: str = "text", least: int = 6, min_hits: int = 5) -> DataFrame:
-    """``(word, n)`` of folded words of ``least`` letters or more; partial counts first."""
-    words = F.regexp_extract_all(fold(F.col(text_col)), F.lit(rf"[a-z0-9_]{{{least},}}"), 0)
+    """``(word, n)`` of folded words of ``least`` letters or more, in any script; partial counts first."""
+    words = F.regexp_extract_all(fold(F.col(text_col)), F.lit(rf"{LETTERS}{{{least},}}"), 0)
     return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_hits)
 
 
@@ -32,21 +33,58 @@ def near_twins(words: DataFrame) -> DataFrame:
     return a.join(b, "mask").where(F.col("a.word") < F.col("b.word")).select(F.col("a.word").alias("word_a"), F.col("b.word").alias("word_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
 
 
+def suggested(docs: DataFrame, done: DataFrame, most: int = 15, key: str = "rel", text_col: str = "text") -> DataFrame:
+    """The ``most`` frequent near twins of the files that are done: ``docs (rel, text)``, ``done (rel)``."""
+    twins = near_twins(frequencies(docs.join(done.select(key).distinct(), key, "left_semi"), text_col))
+    return twins.orderBy(F.desc(F.col("n_a") + F.col("n_b")), "word_a", "word_b").limit(most)
+
+
+def extended(glossary: DataFrame, more: DataFrame) -> DataFrame:
+    """``glossary (src, dst)`` with the pairs of ``more``, which win; empty ones are left out."""
+    named = lambda df, rank: df.select("src", "dst", F.lit(rank).alias("rank")).where("coalesce(src, '') <> '' and coalesce(dst, '') <> ''")
+    return named(glossary, 0).union(named(more, 1)).groupBy("src").agg(F.max_by("dst", F.struct("rank", "dst")).alias("dst"))
+
+
+def shown(glossary: DataFrame, found: DataFrame) -> DataFrame:
+    """``(src, dst, n)``: the glossary with how often each term is missed."""
+    return glossary.select("src", "dst").join(violations(glossary, found), "src")
+
+
 def broken(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     """``(doc_id, src, dst)`` of pinned terms that a pair doesn't render.
 
-    ``pairs (doc_id, o, t)`` against ``glossary (src, dst)``, a word list held
-    by people and broadcast as such.  Words are ASCII after folding, so word
-    boundaries agree everywhere.
+    ``pairs (doc_id, o, t)`` against ``glossary (src, dst)``, which may have
+    ``phrases``, an array of exceptions: a term doesn't count within them.  A
+    term counts where it starts a word of ``o``.  It is rendered if the stem of
+    ``dst`` occurs in ``t``; if the term itself survives there as a word, it is
+    not, unless ``dst`` begins with it or shares its stem.
+
+    A text asks for the terms whose first letters begin one of its words, an
+    equi-join; Spark broadcasts the glossary if it is small.  Of a glossary of
+    ``HELD_TERMS`` at most, the first letters are a constant of the plan, so
+    that a text only asks for what there is.
     """
-    g = F.broadcast(glossary.select("src", "dst", fold(F.col("src")).alias("s"), fold(F.col("dst")).alias("d"), term_stem(F.col("src")).alias("s_stem"), term_stem(F.col("dst")).alias("d_stem")))
+    phrases = F.col("phrases") if "phrases" in glossary.columns else F.lit(None).cast("array<string>")
+    s, d = fold(F.col("src")), fold(F.col("dst"))
+    g = glossary.select("src", "dst", F.filter(F.transform(phrases, fold), lambda x: x != "").alias("phrases"), s.alias("s"), d.alias("d"), term_stem(F.col("src")).alias("s_stem"), term_stem(F.col("dst")).alias("d_stem"), F.regexp_extract(s, f"^{LETTERS}*", 0).alias("key")).where("s <> ''")
+    sizes = sorted(r["n"] for r in g.select(F.length("key").alias("n")).distinct().collect())
+    first = [r["key"] for r in g.select("key").distinct().limit(HELD_TERMS + 1).collect()]
+
     p = pairs.select("doc_id", fold(F.col("o")).alias("o"), fold(F.col("t")).alias("t"))
-    has = F.regexp(F.col("o"), F.concat(F.lit(r"\b"), F.col("s")))
-    word = F.concat(F.lit(r"\b"), F.col("s"), F.lit(r"\b"))
-    joined = p.crossJoin(g).where(F.col("o").contains(F.col("s"))).where(has)
-    related = F.regexp(F.col("d"), F.concat(F.lit("^"), F.col("s"), F.lit(r"\b"))) | (F.col("s_stem") == F.col("d_stem"))
-    bad = ~F.col("t").contains(F.col("d_stem")) | (~related & F.regexp(F.col("t"), word))
-    return joined.where(bad).select("doc_id", "src", "dst")
+    words = F.array_distinct(F.regexp_extract_all("o", F.lit(f"{LETTERS}+"), 0))
+    beginnings = lambda n: F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.left(w, F.lit(n)))
+    asked = [beginnings(n) for n in sizes if n]
+    keys = F.array_distinct(F.concat(F.array(F.lit("")), *asked))
+    if len(first) <= HELD_TERMS:
+        keys = F.array_intersect(keys, F.lit(first) if first else F.array().cast("array<string>"))
+    joined = p.select("*", F.explode(keys).alias("key")).join(g, "key")
+
+    without = lambda text: F.aggregate(F.coalesce("phrases", F.array().cast("array<string>")), text, lambda rest, x: F.replace(rest, x, F.lit(" ")))
+    o, t = without(F.col("o")), without(F.col("t"))
+    related = F.regexp(F.col("d"), F.concat(F.lit("^"), starts_word(F.col("s")), ends_word(F.col("s")))) | (F.col("s_stem") == F.col("d_stem"))
+    survives = t.contains(F.col("s")) & F.regexp(t, F.concat(starts_word(F.col("s")), ends_word(F.col("s"))))
+    bad = ~F.col("t").contains(F.col("d_stem")) | (~related & survives)
+    return joined.where(o.contains(F.col("s"))).where(F.regexp(o, starts_word(F.col("s")))).where(bad).select("doc_id", "src", "dst")
 
 
 def violations(glossary: DataFrame, found: DataFrame) -> DataFrame:
@@ -85,18 +123,23 @@ def extraction(replies: DataFrame) -> DataFrame:
 def wrong_rendering(src: str, dst: str, orig: str, trad: str, glossary: dict[str, str]) -> str:
     """What was written in place of ``dst``, as a note; empty if it can't be told.
 
-    First a near rendering that belongs to another term the original lacks,
-    then any word within two letters of the required one.
+    Every word of ``trad`` within two letters of ``dst`` is a suspect.  One that
+    is the rendering of another term, which ``orig`` lacks, comes first, by the
+    order of the glossary; then words that no term of ``orig`` explains, by the
+    alphabet.
     """
     from quillspark.operators.client import distance
-    from quillspark.operators.diff import fold as folded
-
-    o, t, want = folded(orig), folded(trad), folded(dst)
-    word = lambda w, text: re.search(rf"\b{re.escape(folded(w))}\b", text)
-    for other, rendering in glossary.items():
-        near = folded(rendering) != want and distance(folded(rendering), want) <= TWIN_DISTANCE
-        if near and folded(other) != folded(src) and word(rendering, t) and not word(other, o):
-            return f"the previous output wrote “{rendering}”, which is the rendering of “{other}” — a DIFFERENT term. Never use it for “{src}”."
-    fine = {folded(d) for s, d in glossary.items() if word(s, o)} | {want}
-    near = [w for w in sorted(set(re.findall(r"\w+", t))) if w not in fine and distance(w, want) <= TWIN_DISTANCE]
-    return f"the previous output wrote “{near[0]}” instead — it is not the required form." if near else ""
+
+    words = {side: set(re.findall(r"\w+", folded(text))) for side, text in (("o", orig), ("t", trad))}
+    texts = {"o": folded(orig), "t": folded(trad)}
+    stands = lambda term, side: folded(term) in words[side] or bool(re.search(rf"\b{re.escape(folded(term))}\b", texts[side]))
+    want = folded(dst)
+    entries = [(k, s, d, stands(s, "o")) for k, (s, d) in enumerate(glossary.items())]
+    explained = {want, *(folded(d) for _, _, d, there in entries if there)}
+    close = lambda word: word != want and distance(word, want) <= dims.TWIN_DISTANCE
+    suspects = [(0, k, "twin", (d, s, src)) for k, s, d, there in entries if not there and folded(s) != folded(src) and close(folded(d)) and stands(d, "t")]
+    suspects += [(1, w, "near", (w,)) for w in words["t"] - explained if close(w)]
+    if not suspects:
+        return ""
+    *_, kind, told = min(suspects, key=lambda x: (x[0], x[1]) if x[0] == 0 else (1, x[1]))
+    return dims.REASONS[kind].format(*told)

@@ -45,11 +45,15 @@ def html_tag(text: Column) -> Column:
 
 def checks(pairs: DataFrame, code: str = "it", hints: tuple[str, ...] = (), page_break: str = PAGE_BREAK, least: float = 0.5) -> DataFrame:
     """``pairs (doc_id, orig, trad)`` with one boolean column per check."""
+    return pairs.select("doc_id", *flags(code, hints, page_break, least))
+
+
+def flags(code: str = "it", hints: tuple[str, ...] = (), page_break: str = PAGE_BREAK, least: float = 0.5) -> list[Column]:
+    """Each check of a row's ``orig`` and ``trad``, named."""
     o, t = F.col("orig"), F.col("trad")
     hinted = "|".join(f'class="{re.escape(h)}"' for h in hints)
     tag = html_tag(t)
-    return pairs.select(
-        "doc_id",
+    return [
         (counts(o, KEY_TAGS) == counts(t, KEY_TAGS)).alias("tags"),
         (counts(o, hinted) == counts(t, hinted) if hints else F.lit(True)).alias("code"),
         (counts(o, page_break) == counts(t, page_break)).alias("pagebreak"),
@@ -57,7 +61,7 @@ def checks(pairs: DataFrame, code: str = "it", hints: tuple[str, ...] = (), page
         (values_of(o, "href") == values_of(t, "href")).alias("hrefs"),
         (tag.contains(f'lang="{code}"') | tag.contains(f"lang='{code}'")).alias("lang"),
         (F.length(t) >= least * F.length(o)).alias("length"),
-    )
+    ]
 
 
 def scored(checked: DataFrame, names: tuple[str, ...] = CHECKS) -> DataFrame:
@@ -84,9 +88,8 @@ def full(pairs: DataFrame, cfg: dict | None = None, code: str = "it", hints: tup
 
     ``struct_reason`` holds the first three defects of a pair.
     """
-    from quillspark.operators.diff import defects
+    from quillspark.operators.diff import first_defects
 
-    found = defects(pairs, cfg).groupBy("doc_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("seq", "detail"))), 1, 3), lambda d: d["detail"]), "; ").alias("struct_reason"))
-    formed = pairs.select("doc_id", parse_errors("trad").isNull().alias("xhtml"))
-    all_checks = checks(pairs, code, hints).join(formed, "doc_id").join(found, "doc_id", "left").withColumn("struct", F.col("struct_reason").isNull())
+    read = first_defects(pairs.select("doc_id", "orig", "trad"), cfg)
+    all_checks = read.select("doc_id", parse_errors("trad").isNull().alias("xhtml"), *flags(code, hints), F.col("struct_reason").isNull().alias("struct"), "struct_reason")
     return scored(all_checks, ("xhtml", *CHECKS, "struct"))
