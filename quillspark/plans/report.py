@@ -40,13 +40,26 @@ def judged(scores: DataFrame, low: int = 7) -> DataFrame:
     return scores.agg(F.avg("score").alias("avg_score"), F.count_if(F.col("score") < low).alias("n_low"))
 
 
+def judged_low(scores: DataFrame, key: str = "rel", low: int = 7) -> DataFrame:
+    """``(key, score, comment)`` of the files below ``low``."""
+    return scores.where(F.col("score") < low).select(key, "score", "comment")
+
+
 def measured(results: DataFrame) -> DataFrame:
-    """Shares of units valid at once and in the end, by reason of refusal.
+    """One row: units, shares valid at once and in the end, calls and characters a second.
 
-    ``results (attempts, status, reason)``.
+    ``results`` are those of :func:`quillspark.operators.client.measure_documents`.
     """
-    n = F.count("*")
-    return results.agg(n.alias("units"), (F.count_if((F.col("status") == "ok") & (F.col("attempts") == 1)) / n).alias("first"), (F.count_if(F.col("status") == "ok") / n).alias("final"))
+    n, good = F.count("*"), F.col("status") == "ok"
+    speed = F.sum("chars") / F.nullif(F.sum("seconds"), F.lit(0.0))
+    return results.agg(n.alias("units"), (F.count_if(good & (F.col("attempts") == 1)) / n).alias("first"), (F.count_if(good) / n).alias("final"), F.sum("calls").alias("calls"), F.sum("chars").alias("chars"), speed.alias("chars_per_s"))
+
+
+def refusals(results: DataFrame) -> DataFrame:
+    """``(reason, n)``: how often answers were refused for what, numbers and names taken out."""
+    each = results.select(F.explode("refusals").alias("reason"))
+    kind = F.regexp_replace(F.regexp_replace("reason", r"<[^>]*>|'[^']*'|“[^”]*”", "_"), r"\d+", "0")
+    return each.select(kind.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def books(spine: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import posixpath
 import tempfile
 import urllib.parse
 import zipfile
+from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -64,11 +65,28 @@ def package_rows(content: bytes) -> list[tuple[str, int, str, str, str]]:
     return out
 
 
+def root_of(package: str, names: set[str], up: int = 5) -> str:
+    """The nearest of the package's folder and those above it that holds META-INF.
+
+    Of ``up`` folders at most; else the folder above the package's.
+    """
+    holders = {n.partition("META-INF/")[0].rstrip("/") for n in names if n.startswith("META-INF/") or "/META-INF/" in n}
+    at = folder = posixpath.dirname(package)
+    for _ in range(up):
+        if at in holders:
+            return at
+        if not at:
+            break
+        at = posixpath.dirname(at)
+    return posixpath.dirname(folder) or folder
+
+
 def spine(files: DataFrame) -> DataFrame:
     """``(book, pos, entry)``: the text files of each book in reading order.
 
     References are joined to the manifest; links are decoded, fragments
-    dropped, and only files within the archive count, each at its first place.
+    dropped, and only files under the package's root count, each at its first
+    place.
     """
 
     def packages(batches):
@@ -76,8 +94,11 @@ def spine(files: DataFrame) -> DataFrame:
             cols: list[list] = [[] for _ in range(7)]
             for book, container, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = package_path(container)
+                root = root_of(at, {"META-INF/container.xml"})
+                inside = lambda path, root=root: not root or path == root or path.startswith(f"{root}/")
                 for row in package_rows({f["entry"]: f["content"] for f in listed}.get(at, b"<x/>")):
                     href = posixpath.normpath(posixpath.join(posixpath.dirname(at), urllib.parse.unquote(row[3].split("#", 1)[0]))) if row[3] else ""
+                    href = href if inside(href) and not href.startswith("../") else ""
                     for col, v in zip(cols, (book, *row, href), strict=True):
                         col.append(v)
             kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
@@ -109,3 +130,12 @@ def pack(rows: list[tuple[str, bytes]], target: str) -> str:
         os.unlink(temporary)
         raise
     return target
+
+
+def pack_translation(rows: list[tuple[str, bytes]], target: str, add: Callable[[dict[str, bytes]], dict[str, bytes]] = dict) -> str:
+    """Export a copy of a book, with what ``add`` puts into it, for instance how it was made.
+
+    ``add`` gets the copy by entry and returns the files of the export.  If it
+    fails, or the writing does, an earlier export stays as it was.
+    """
+    return pack(sorted(add(dict(rows)).items()), target)
