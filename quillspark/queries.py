@@ -88,29 +88,33 @@ def unit_stats(spark, sf_dir):
 
 
 def identity_splice(spark, sf_dir):
-    """Pages that aren't themselves after taking units out and putting them back: none."""
+    """Digests of all pages after taking the insides of their units out and putting them back."""
     pages = table(spark, sf_dir, "pages")
     units = segment.units(pages)
-    same = units.select("doc_id", "idx", F.substring(F.col("visible"), F.lit(0), F.lit(0)).alias("x"), F.lit(None).cast("string").alias("inner")).drop("x")
-    back = splice.spliced(pages, units, same)
-    return pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("was")).join(back, "doc_id").where("was <> html").select("doc_id")
+    taken = units.join(pages.select(F.col("page_id").alias("doc_id"), "html"), "doc_id")
+    before = F.col("start") + F.length("lead")
+    inner = F.substring(F.col("html"), before + 1, F.col("end") - F.length("trail") - before)
+    return splice.spliced(pages, units, taken.select("doc_id", "idx", inner.alias("inner"))).select("doc_id", F.md5("html").alias("html_md5"))
 
 
 def interval_units_at(spark, sf_dir):
-    """Islands that meet given spans of each page."""
+    """Islands that meet spans of 20 characters in every 100 of each page."""
     t = lexer.with_offsets(page_tokens(spark, sf_dir))
-    spans = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k")).select("doc_id", (F.col("k") * 100).alias("s"), (F.col("k") * 100 + 20).alias("e"))
+    every = F.sequence(F.lit(0), F.floor(F.length("html") / 100).cast("int"))
+    spans = table(spark, sf_dir, "pages").where("html is not null").select(F.col("page_id").alias("doc_id"), F.explode(every).alias("k")).select("doc_id", (F.col("k") * 100).alias("s"), (F.col("k") * 100 + 20).alias("e"))
     bound = segment.is_boundary(F.col("kind"), F.col("name"))
     runs = t.withColumn("b", bound).withColumn("idx", F.sum(bound.cast("int")).over(lexer.in_document())).where("not b").groupBy("doc_id", "idx").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return splice.units_at(runs, spans)
 
 
 def overlap_edits(spark, sf_dir):
-    """Texts after edits, of which overlapping ones are dropped."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    at = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.struct((k * 7 % 50).cast("int").alias("start"), (k * 7 % 50 + 4 + k).cast("int").alias("end"), F.concat(F.lit("["), k.cast("string"), F.lit("]")).alias("replacement")))
-    kept = splice.resolved(at)
-    return d.where(F.length("text") > 80).select("doc_id", F.size(kept).alias("n_kept"), F.md5(splice.applied(F.col("text"), kept)).alias("edited_md5"))
+    """Whole texts after an edit for every 37 characters, of which overlapping ones are dropped."""
+    d = table(spark, sf_dir, "documents").where("length(text) > 0")
+    n = F.length("text")
+    start = lambda k: (k * 61) % n
+    at = F.transform(F.sequence(F.lit(0), F.floor(n / 37).cast("int")), lambda k: F.struct(start(k).alias("start"), F.least(n, start(k) + 4 + k % 9).alias("end"), F.concat(F.lit("["), k.cast("string"), F.lit("]")).alias("replacement")))
+    kept = d.select("doc_id", "text", splice.resolved(at).alias("kept"))
+    return kept.select("doc_id", F.size("kept").alias("n_kept"), F.md5(splice.applied(F.col("text"), F.col("kept"))).alias("edited_md5"))
 
 
 # ---- pairs ----
@@ -179,10 +183,15 @@ def struct_diff(spark, sf_dir):
     return found.select("doc_id", "seq", "kind", "detail", F.col("trad_span.s").alias("trad_start"), F.col("trad_span.e").alias("trad_end"))
 
 
+MOVED = ("<div>one <em>two</em> three</div>", "<div><em>two</em> three one</div>", "<div>one two three</div>")
+
+
 def inline_moves(spark, sf_dir):
-    """Pairs with an inline element moved within its block: no defects, so no rows."""
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("<div>one <em>two</em> three</div>").alias("orig"), F.lit("<div><em>two</em> three one</div>").alias("trad"))
-    return diff.defects(p).select("doc_id", "kind")
+    """Defects of each page with an inline element moved within a block, and with it lost."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), *[F.replace("html", F.lit("</body>"), F.lit(f"{block}</body>")).alias(n) for n, block in zip(("orig", "moved", "lost"), MOVED, strict=True)])
+    found = lambda name: diff.defects(p.select("doc_id", "orig", F.col(name).alias("trad"))).select("doc_id", F.lit(name).alias("kind"))
+    counted = found("moved").union(found("lost")).groupBy("doc_id").agg(*[F.count_if(F.col("kind") == n).alias(f"n_{n}") for n in ("moved", "lost")])
+    return p.select("doc_id").join(counted, "doc_id", "left").na.fill(0)
 
 
 def blamed_units(spark, sf_dir):
@@ -256,11 +265,13 @@ def glossary_conflicts(spark, sf_dir):
 
 
 def parse_extraction(spark, sf_dir):
-    """Rows of terminology replies made from documents."""
-    d = table(spark, sf_dir, "documents")
-    word = lambda i: F.coalesce(F.try_element_at(F.split("text", " "), F.lit(i)), F.lit(""))
-    reply = F.concat(F.lit("1. "), word(1), F.lit(" | "), word(2), F.lit("|"), word(3), F.lit(" | because\nNONE\n- "), word(4), F.lit("|x|"), word(4), F.lit("\n* "), word(5), F.lit("|"), word(6))
-    return terms.extraction(d.select("doc_id", reply.alias("reply")))
+    """Rows of terminology replies made from documents, a line for every six words."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    word = lambda i: F.coalesce(F.get("w", i), F.lit(""))
+    line = lambda i: F.concat((i + 1).cast("string"), F.lit(". "), word(6 * i), F.lit(" | "), word(6 * i + 1), F.lit("|"), word(6 * i + 2), F.lit(" | because\n- "), word(6 * i + 3), F.lit("|x|"), word(6 * i + 3))
+    cut = d.select("doc_id", F.split("text", " ").alias("w"))
+    reply = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 6).cast("int")), line), "\n"), F.lit("\nNONE\n* only|two"))
+    return terms.extraction(cut.select("doc_id", reply.alias("reply")))
 
 
 def parse_judge_report(spark, sf_dir):
@@ -313,8 +324,8 @@ def text_functions(spark, sf_dir):
 def answer_markers(spark, sf_dir):
     """Placeholders of answers in their normal spelling, and the text without."""
     d = table(spark, sf_dir, "documents").where("text is not null")
-    answer = F.concat(F.lit("<g1>"), F.left("text", F.lit(10)), F.lit("</ g1> <x"), (F.col("doc_id") % 7).cast("string"), F.lit("></x2> end< X3/>"))
-    return d.select("doc_id", F.array_join(splice.normal_markers(answer), " ").alias("markers"), splice.plain_text(answer).alias("plain"))
+    answer = F.concat(F.lit("<g1>"), F.replace("text", F.lit(". "), F.concat(F.lit(". < X"), (F.col("doc_id") % 9).cast("string"), F.lit("/><g2>"))), F.lit("</ g1> <x"), (F.col("doc_id") % 7).cast("string"), F.lit("></x2> end< X3/>"))
+    return d.select("doc_id", F.array_join(splice.normal_markers(answer), " ").alias("markers"), F.md5(splice.plain_text(answer)).alias("plain_md5"))
 
 
 # ---- batches, outcomes, reports ----
@@ -414,9 +425,8 @@ def judge_stub(spark, sf_dir):
 
 
 def done_state(spark, sf_dir):
-    """Finished and failing files, as one row."""
-    s = outcomes.state(_log(spark, sf_dir))
-    return s.select(F.array_join("done", ",").alias("done"), F.size(F.map_keys("failed")).cast("long").alias("n_failed"))
+    """Finished and failing files, with the reason of the last failing unit."""
+    return outcomes.state(_log(spark, sf_dir))
 
 
 def config_precedence(spark, sf_dir):
@@ -456,8 +466,9 @@ def translate_stub(spark, sf_dir):
 
 
 def measured_units(spark, sf_dir):
-    """How many units are valid."""
-    return report.measured(translate_stub(spark, sf_dir).withColumn("attempts", F.lit(1)))
+    """How many units of all pages are valid at once and in the end."""
+    docs = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("rel"), F.col("html").alias("orig"))
+    return report.measured(client.measure_documents(docs, {}, client.stub_chat)).drop("chars_per_s")
 
 
 QUERIES = {
@@ -519,16 +530,16 @@ scores AS (SELECT doc_id, tags AND code AND pagebreak AND ids AND hrefs AND lang
   CAST(round_even(100.0 * (tags::INT + code::INT + pagebreak::INT + ids::INT + hrefs::INT + lang::INT + length::INT) / 7, 0) AS INT) AS score,
   concat_ws(';', {", ".join(f"CASE WHEN NOT {c} THEN '{c}' END" for c in verify.CHECKS)}) AS reasons FROM checks)"""
 )
-_FOLD = lambda s: f"translate(lower({s}), '{dims.ACCENTED}', '{dims.PLAIN}')"
+_FOLD = lambda s: f"strip_accents(lower({s}))"
 _STEM = lambda f: f"CASE WHEN length({f}) > 7 THEN left({f}, length({f}) - 4) WHEN length({f}) >= 5 THEN left({f}, length({f}) - 1) ELSE {f} END"
 _FREQ = f"""
-words AS (SELECT unnest(regexp_extract_all({_FOLD("text")}, '[a-z0-9_]{{6,}}')) AS word FROM documents),
-freq AS (SELECT word, count(*) AS n FROM words GROUP BY word HAVING count(*) >= 5)"""
+words AS (SELECT unnest(regexp_extract_all({_FOLD("text")}, '[\\pL\\pN_]{{6,}}')) AS word FROM documents),
+freq AS MATERIALIZED (SELECT word, count(*) AS n FROM words GROUP BY word HAVING count(*) >= 5)"""
 _GLOSS = f"""
 g AS (SELECT src, dst, {_FOLD("src")} AS s, {_FOLD("dst")} AS d, {_STEM(_FOLD("src"))} AS ss, {_STEM(_FOLD("dst"))} AS ds FROM (VALUES {", ".join(f"({_Q(a)}, {_Q(b)})" for a, b in GLOSSARY)}) AS v(src, dst)),
 p AS (SELECT doc_id, source, {_FOLD("text")} AS o, {_FOLD("CASE WHEN doc_id % 2 = 0 THEN text ELSE replace(lower(text), 'the', 'die') END")} AS t FROM documents),
-broken AS (SELECT doc_id, source, src, dst FROM p, g WHERE contains(o, s) AND regexp_matches(o, '\\b' || s)
-  AND (NOT contains(t, ds) OR (NOT (regexp_matches(d, '^' || s || '\\b') OR ss = ds) AND regexp_matches(t, '\\b' || s || '\\b'))))"""
+broken AS (SELECT doc_id, source, src, dst FROM p, g WHERE contains(o, s) AND regexp_matches(o, '(?:^|[^\\pL\\pN_])' || s)
+  AND (NOT contains(t, ds) OR (NOT (regexp_matches(d, '^' || s || '(?:$|[^\\pL\\pN_])') OR ss = ds) AND regexp_matches(t, '(?:^|[^\\pL\\pN_])' || s || '(?:$|[^\\pL\\pN_])'))))"""
 _REPORT = """
 r AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'no score here' ELSE concat(CAST(doc_id % 13 AS VARCHAR), ' /10 | note ', lang) END AS r FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, least(CAST(nullif(regexp_extract(r, '(\\d{1,2})\\s*/\\s*10', 1), '') AS INT), CASE WHEN r LIKE 'no%' THEN NULL ELSE 10 END) AS score,
@@ -544,9 +555,8 @@ per_run AS (SELECT rel, idx, run, count(*) AS n FROM runs WHERE status <> 'drop'
 tries AS (SELECT rel, idx, arg_max(n, run) AS attempts FROM per_run GROUP BY ALL)"""
 _RECORDS = "rec AS (SELECT source AS slug, concat('m', CAST(doc_id % 3 AS VARCHAR)) AS model, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 101 END AS score, CASE WHEN doc_id % 6 <> 0 THEN n_chars END AS tok FROM documents)"
 _CLEAN = "trim(regexp_replace(regexp_replace({}, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))"
-_NONE = "SELECT CAST(NULL AS BIGINT) AS doc_id WHERE false"
 _MARK = r"<\s*(/?)\s*([gx])(\d+)\s*(/?)\s*>"
-_ANSWER = "concat('<g1>', left(text, 10), '</ g1> <x', CAST(doc_id % 7 AS VARCHAR), '></x2> end< X3/>')"
+_ANSWER = "concat('<g1>', replace(text, '. ', concat('. < X', CAST(doc_id % 9 AS VARCHAR), '/><g2>')), '</ g1> <x', CAST(doc_id % 7 AS VARCHAR), '></x2> end< X3/>')"
 _WORDS = _IN(sorted(set(dims.FUNCTION_WORDS["english"]) | set(EXTRA_WORDS)))
 _SPLIT = lambda s: f"SELECT doc_id, unnest(regexp_split_to_array(lower(regexp_replace(regexp_replace({s}, {_Q('(?is)' + '|'.join(f'<{t}' + chr(92) + 'b[^>]*>.*?</' + t + chr(92) + 's*>' for t in dims.QUOTED_TAGS))}, ' ', 'g'), '<[^>]*>', ' ', 'g')), '[^\\pL\\pM\\pN_]+')) AS word FROM documents"
 _PLAN = """
@@ -565,10 +575,28 @@ ORACLE_SQL = {
     "block_tag_counts": f"WITH {_TOK} SELECT name, count(*) FILTER (kind = 'open') AS n_open, count(*) FILTER (kind = 'close') AS n_close FROM tok WHERE name IN {_IN(dims.BLOCK)} GROUP BY ALL",
     "unit_islands": f"""WITH {_TOK}, m AS (SELECT *, {_BOUND} AS b, sum({_BOUND}::INT) OVER w AS island, sum(CASE WHEN name IN {_IN(dims.LITERAL_BLOCKS)} THEN CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END ELSE 0 END) OVER w AS depth FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
         SELECT doc_id, CAST(island AS BIGINT) AS island, min(pos) AS first_pos, count(*) AS n_tokens, CAST(sum(length(raw)) AS BIGINT) AS n_chars, bool_or(kind = 'text' AND regexp_matches(raw, '\\pL')) AS has_letters, bool_or(depth > 0) AS literal FROM m WHERE NOT b GROUP BY doc_id, island""",
-    "identity_splice": _NONE,
-    "inline_moves": "SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS kind WHERE false",
+    "identity_splice": "SELECT page_id AS doc_id, md5(html) AS html_md5 FROM pages",
+    "inline_moves": "SELECT page_id AS doc_id, CAST(0 AS BIGINT) AS n_moved, CAST(CASE WHEN contains(html, '</body>') THEN 1 ELSE 0 END AS BIGINT) AS n_lost FROM pages",
+    "overlap_edits": """WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+        k AS (SELECT doc_id, n, unnest(range(CAST(n // 37 + 1 AS BIGINT))) AS k FROM d),
+        e AS MATERIALIZED (SELECT doc_id, k, k * 61 % n AS s, least(n, k * 61 % n + 4 + k % 9) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY k * 61 % n, -(least(n, k * 61 % n + 4 + k % 9) - k * 61 % n), least(n, k * 61 % n + 4 + k % 9), '[' || k || ']') AS rn FROM k),
+        f AS (SELECT doc_id, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS last, CAST(0 AS BIGINT) AS before, false AS kept, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS k FROM d UNION ALL
+          SELECT e.doc_id, e.rn, CASE WHEN e.s >= f.last THEN e.e ELSE f.last END, CASE WHEN f.last < 0 THEN 0 ELSE f.last END, e.s >= f.last, e.s, e.k FROM f JOIN e ON e.doc_id = f.doc_id AND e.rn = f.rn + 1),
+        p AS (SELECT f.doc_id, rn, last, substring(text, before + 1, s - before) || '[' || k || ']' AS piece FROM f JOIN d ON d.doc_id = f.doc_id WHERE kept)
+        SELECT d.doc_id, CAST(count(*) AS INT) AS n_kept, md5(string_agg(piece, '' ORDER BY rn) || substring(any_value(text), max(last) + 1, any_value(n))) AS edited_md5 FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY d.doc_id""",
+    "leftover_sentences": f"""WITH f AS (SELECT DISTINCT doc_id, word FROM ({_SPLIT("left(text, CAST(floor(length(text) / 2) AS INT))")}) WHERE word IN {_WORDS} INTERSECT SELECT DISTINCT doc_id, word FROM ({_SPLIT("text")}) WHERE word IN {_WORDS}),
+        h AS (SELECT doc_id, left(text, CAST(floor(length(text) / 2) AS INT)) AS html FROM documents SEMI JOIN f USING (doc_id)),
+        c AS (SELECT doc_id, CAST(unnest(range(len(ts))) AS INT) AS pos, unnest(ts) AS raw FROM (SELECT doc_id, regexp_extract_all(html, {_Q(_TOKEN)}) AS ts FROM h)),
+        o AS (SELECT *, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY pos) - length(raw) AS pos0 FROM c),
+        g AS (SELECT doc_id, pos, pos0, string_split(regexp_replace(raw, '([.;:!?]\\s+)', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM o WHERE raw NOT LIKE '<%'),
+        i AS (SELECT doc_id, pos, pos0, unnest(range(len(ss))) AS j, unnest(ss) AS sentence FROM g),
+        m AS (SELECT *, pos0 + sum(length(sentence)) OVER (PARTITION BY doc_id, pos ORDER BY j) AS e FROM i),
+        w AS (SELECT doc_id, e - length(sentence) AS s, e, sentence, unnest(regexp_split_to_array(lower(sentence), '[^\\pL\\pN_]+')) AS word FROM m)
+        SELECT doc_id, CAST(s AS INT) AS "start", CAST(e AS INT) AS "end", min(word) AS word, sentence FROM w SEMI JOIN f USING (doc_id, word) GROUP BY doc_id, s, e, sentence""",
+    "judge_stub": f"""WITH {_PAIRS}, n AS (SELECT CAST(doc_id AS VARCHAR) AS rel, {len(client.judge_prompt("", "", dict(dims.DEFAULTS)))} + length(orig) + length(trad) AS n, greatest(length(orig), length(trad)) > {dims.DEFAULTS["check_max_chars"]} AS sampled FROM pairs)
+        SELECT rel, CAST(n % 11 AS INT) AS score, 'note' AS comment, sampled FROM n""",
     "interval_units_at": f"""WITH {_OFF}, m AS (SELECT *, {_BOUND} AS b, CAST(sum({_BOUND}::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS idx FROM off),
-        u AS (SELECT doc_id, idx, min("start") AS s0, max("end") AS e0 FROM m WHERE NOT b GROUP BY ALL), k AS (SELECT page_id AS doc_id, unnest(range(1, 6)) AS k FROM pages)
+        u AS (SELECT doc_id, idx, min("start") AS s0, max("end") AS e0 FROM m WHERE NOT b GROUP BY ALL), k AS (SELECT page_id AS doc_id, unnest(range(CAST(length(html) // 100 + 1 AS BIGINT))) AS k FROM pages)
         SELECT DISTINCT u.doc_id, idx FROM u JOIN k ON u.doc_id = k.doc_id AND k * 100 < e0 AND k * 100 + 20 > s0""",
     "verify_tag_counts": f"WITH {_PAIRS} SELECT doc_id, CAST({_COUNT('orig', verify.KEY_TAGS)} AS INT) AS o_tags, CAST({_COUNT('trad', verify.KEY_TAGS)} AS INT) AS t_tags FROM pairs",
     "verify_checks": f"WITH {_CHECKS} SELECT * FROM checks",
@@ -592,12 +620,15 @@ ORACLE_SQL = {
     "leftover_words": f"""WITH l AS (SELECT doc_id, word, count(*) AS n FROM ({_SPLIT("left(text, CAST(floor(length(text) / 2) AS INT))")}) WHERE word IN {_WORDS} GROUP BY ALL), o AS (SELECT DISTINCT doc_id, word FROM ({_SPLIT("text")}) WHERE word IN {_WORDS})
         SELECT l.doc_id, l.word, n FROM l SEMI JOIN o ON l.doc_id = o.doc_id AND l.word = o.word""",
     "term_frequencies": f"WITH {_FREQ} SELECT word, n FROM freq",
-    "near_twins": f"WITH {_FREQ}, x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM freq), k AS (SELECT word, n, i, left(word, i - 1) || '*' || substring(word, i + 1) AS m FROM x) SELECT a.word AS word_a, b.word AS word_b, a.n AS n_a, b.n AS n_b FROM k a JOIN k b ON a.m = b.m AND a.i = b.i AND a.word < b.word",
+    "near_twins": f"""WITH {_FREQ}, k AS MATERIALIZED (SELECT word, n, left(word, i - 1) || chr(1) || substring(word, i + 1) AS m FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM freq)),
+        g AS MATERIALIZED (SELECT m, list({{'w': word, 'n': n}} ORDER BY word) AS ws FROM k GROUP BY m HAVING count(*) > 1),
+        a AS (SELECT ws, unnest(range(1, len(ws))) AS i FROM g), b AS (SELECT ws, i, unnest(range(i + 1, len(ws) + 1)) AS j FROM a)
+        SELECT ws[i].w AS word_a, ws[j].w AS word_b, ws[i].n AS n_a, ws[j].n AS n_b FROM b""",
     "glossary_defects": f"WITH {_GLOSS} SELECT doc_id, src, dst FROM broken",
     "glossary_violations": f"WITH {_GLOSS} SELECT g.src, count(doc_id) AS n FROM g LEFT JOIN broken b ON g.src = b.src GROUP BY g.src",
     "glossary_conflicts": f"WITH {_GLOSS} SELECT src AS term, min(dst) AS expected, count(DISTINCT source) AS n_files, count(*) AS hits FROM broken GROUP BY src HAVING count(DISTINCT source) > 1",
-    "parse_extraction": """WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
-        l AS (SELECT doc_id, '1. ' || coalesce(w[1], '') || ' | ' || coalesce(w[2], '') || '|' || coalesce(w[3], '') || ' | because' || chr(10) || 'NONE' || chr(10) || '- ' || coalesce(w[4], '') || '|x|' || coalesce(w[4], '') || chr(10) || '* ' || coalesce(w[5], '') || '|' || coalesce(w[6], '') AS reply FROM w),
+    "parse_extraction": """WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, array_to_string(list_transform(range(CAST((len(w) - 1) // 6 + 1 AS BIGINT)), lambda i: (i + 1) || '. ' || coalesce(w[6 * i + 1], '') || ' | ' || coalesce(w[6 * i + 2], '') || '|' || coalesce(w[6 * i + 3], '') || ' | because' || chr(10) || '- ' || coalesce(w[6 * i + 4], '') || '|x|' || coalesce(w[6 * i + 4], '')), chr(10)) || chr(10) || 'NONE' || chr(10) || '* only|two' AS reply FROM w),
         s AS (SELECT doc_id, regexp_split_to_array(reply, '\\r\\n|\\r|\\n') AS ls FROM l), e AS (SELECT doc_id, CAST(unnest(range(len(ls))) AS INT) AS line_no, regexp_replace(trim(unnest(ls)), '^[-*0-9. ]+', '') AS line FROM s),
         f AS (SELECT doc_id, line_no, list_transform(string_split(line, '|'), lambda q: trim(q)) AS f FROM e)
         SELECT doc_id, line_no, f[1] AS source, f[2] AS current, f[3] AS correct, coalesce(f[4], '') AS reason FROM f
@@ -613,7 +644,7 @@ ORACLE_SQL = {
         md5(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), chr(13) || chr(10))) AS crlf_md5,
         CAST({_COUNT("text || '… . . . ...'", text.ELLIPSIS)} AS INT) AS n_ellipses FROM a""",
     "answer_markers": f"""WITH a AS (SELECT doc_id, {_ANSWER} AS x FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, x, list_zip(regexp_extract_all(x, {_Q(_MARK)}, 1), regexp_extract_all(x, {_Q(_MARK)}, 2), regexp_extract_all(x, {_Q(_MARK)}, 3)) AS z FROM a)
-        SELECT doc_id, array_to_string(list_transform(list_filter(z, lambda q: NOT (q[2] = 'x' AND q[1] = '/')), lambda q: CASE WHEN q[2] = 'x' THEN '<x' || q[3] || '/>' ELSE '<' || q[1] || 'g' || q[3] || '>' END), ' ') AS markers, regexp_replace(x, {_Q(_MARK)}, '', 'g') AS plain FROM b""",
+        SELECT doc_id, array_to_string(list_transform(list_filter(z, lambda q: NOT (q[2] = 'x' AND q[1] = '/')), lambda q: CASE WHEN q[2] = 'x' THEN '<x' || q[3] || '/>' ELSE '<' || q[1] || 'g' || q[3] || '>' END), ' ') AS markers, md5(regexp_replace(x, {_Q(_MARK)}, '', 'g')) AS plain_md5 FROM b""",
     "greedy_batches": """WITH RECURSIVE u AS (SELECT source, doc_id AS idx, CAST(length(text) AS BIGINT) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
         f AS (SELECT source, idx, n, rn, 1 AS no, n AS size, 1 AS len FROM u WHERE rn = 1 UNION ALL
           SELECT u.source, u.idx, u.n, u.rn, f.no + (f.size + u.n > 9000 OR f.len >= 12)::INT, CASE WHEN f.size + u.n > 9000 OR f.len >= 12 THEN u.n ELSE f.size + u.n END, CASE WHEN f.size + u.n > 9000 OR f.len >= 12 THEN 1 ELSE f.len + 1 END
@@ -627,7 +658,7 @@ ORACLE_SQL = {
     "plan_pass": f"""WITH {_PLAN} SELECT rel, pos, 'translate' AS action FROM spine WHERE rel NOT IN (SELECT rel FROM done UNION SELECT rel FROM waiting)
         UNION ALL SELECT rel, pos, 'repair' FROM spine WHERE rel IN (SELECT rel FROM waiting) OR rel IN (SELECT rel FROM done WHERE rel IN (SELECT rel FROM failing))""",
     "requeue_unknown": f"WITH {_PLAN} SELECT CAST(pos * 2 AS VARCHAR) AS rel FROM spine WHERE CAST(pos * 2 AS VARCHAR) NOT IN (SELECT rel FROM spine)",
-    "done_state": f"WITH {_LATEST}, f AS (SELECT rel, bool_and(status = 'ok') AS fine FROM latest GROUP BY ALL) SELECT coalesce(string_agg(rel, ',' ORDER BY rel) FILTER (fine), '') AS done, count(*) FILTER (NOT fine) AS n_failed FROM f",
+    "done_state": f"WITH {_LATEST} SELECT rel, bool_and(status = 'ok') AS done, arg_max(reason, seq) FILTER (status <> 'ok') AS reason FROM latest GROUP BY rel",
     "config_precedence": f"""WITH s(layer, key, value) AS (VALUES {", ".join("(" + ", ".join(map(_Q, r)) + ")" for r in SETTINGS)}), k AS (SELECT *, CASE layer WHEN 'defaults' THEN 1 WHEN 'user' THEN 2 WHEN 'book' THEN 3 ELSE 4 END AS r FROM s WHERE value <> '' AND key IN {_IN(tuple(dims.DEFAULTS))}),
         w AS (SELECT key, arg_max(value, r) AS value, arg_max(layer, r) AS layer FROM k GROUP BY ALL) SELECT * FROM w WHERE key <> 'dest_code' UNION ALL SELECT 'dest_code', {_CODES.format("value")}, layer FROM w WHERE key = 'target_lang'""",
     "log_summary": f"WITH {_RECORDS} SELECT count(*) AS attempts, CAST(floor(sum(score) / nullif(count(score), 0)) AS BIGINT) AS avg_score, CAST(sum(coalesce(tok, 0)) AS BIGINT) AS tokens FROM rec",
