@@ -9,8 +9,10 @@ sum and that bound stay under the query's k-th best so far.  When a whole
 batch is too short for a query, no partial sum is made at all.  What survives
 is scored in exact integers.
 
-Queries are met in blocks of bounded size, so that what a task holds doesn't
-grow with the input.
+Vectors are rotated and measured once and lie in chunks of ``ROWS``, each with
+the length of its longest; a chunk too short for every query isn't decoded.
+Queries are met in blocks of bounded size, ``AT_ONCE`` of them in each job over
+the chunks, so that what a task holds doesn't grow with the input.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from quillspark.llm.common import arrow_map, keyed, written
 
 SCALE = 256
 FRONTS = (0.5, 0.75)  # shares of the coordinates after which to prune
-ROWS = 2048  # vectors in one matrix product
-SEEDS = 1000  # longest vectors that give the first bounds
+ROWS = 2048  # vectors in a chunk, and in one matrix product
+AT_ONCE = 8  # blocks of queries that one job over all chunks answers
 
 
 def integers(values: list) -> np.ndarray | None:
@@ -84,6 +86,57 @@ def rotation(vectors: DataFrame, d: int) -> np.ndarray:
     return np.linalg.eigh((gram + gram.T) / 2)[1][:, ::-1]
 
 
+def fronts_of(d: int) -> list[int]:
+    """After how many coordinates products are pruned."""
+    return sorted({max(1, int(d * s)) for s in FRONTS}) if d else []
+
+
+@dataclass
+class Chunk:
+    """Vectors in order of length: whole ones, rotated, and what is left after each front."""
+
+    rows: np.ndarray
+    ids: np.ndarray
+    v: np.ndarray
+    x: np.ndarray
+    norms: np.ndarray
+    rests: list[np.ndarray]
+
+    @staticmethod
+    def of(rows: np.ndarray, ids: np.ndarray, v: np.ndarray, basis: np.ndarray) -> Chunk:
+        x = v.astype(float) @ basis
+        return Chunk(rows, ids, v, x, np.sqrt((x**2).sum(1)), [np.sqrt((x[:, f:] ** 2).sum(1)) for f in fronts_of(v.shape[1])])
+
+    def row(self) -> dict:
+        """As a row of a table."""
+        flat = {"rows": self.rows, "ids": self.ids, "v": self.v, "x": self.x, "norms": self.norms, "rests": np.array(self.rests)}
+        return {"longest": float(self.norms.max(initial=0.0))} | {k: np.ascontiguousarray(a).tobytes() for k, a in flat.items()}
+
+    @staticmethod
+    def read(row: dict, d: int) -> Chunk:
+        part = {k: np.frombuffer(row[k], np.int64 if k in ("rows", "ids", "v") else float) for k in ("rows", "ids", "v", "x", "norms", "rests")}
+        n = len(part["rows"])
+        return Chunk(part["rows"], part["ids"], part["v"].reshape(n, d), part["x"].reshape(n, d), part["norms"], list(part["rests"].reshape(-1, n)))
+
+
+CHUNK = "longest double, rows binary, ids binary, v binary, x binary, norms binary, rests binary"
+
+
+def chunked(laid: DataFrame, basis: np.ndarray) -> DataFrame:
+    """``laid (row, vec_id, v)`` as chunks, in the order of its rows."""
+    d = len(basis)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                ids = np.array([_id(x) for x in part.column("vec_id").to_pylist()], np.int64)
+                made = Chunk.of(part.column("row").to_numpy(), ids, _matrix(part.column("v").to_pylist(), d), basis).row()
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in made.values()], names=list(made))
+
+    return laid.select("row", "vec_id", "v").mapInArrow(run, CHUNK)
+
+
 @dataclass
 class Block:
     """A block of queries, rotated, and the best found for each so far."""
@@ -98,8 +151,7 @@ class Block:
         self.start()
 
     def start(self) -> None:
-        d = self.v.shape[1]
-        self.fronts = sorted({max(1, int(d * s)) for s in FRONTS}) if d else []
+        self.fronts = fronts_of(self.v.shape[1])
         self.q = self.v.astype(float) @ self.basis
         self.norm = np.sqrt((self.q**2).sum(1))
         self.rest = [np.sqrt((self.q[:, f:] ** 2).sum(1)) for f in self.fronts]
@@ -108,34 +160,33 @@ class Block:
         self.ids = np.full((n, self.k), np.iinfo(np.int64).max)
         self.seen_rows = np.full((n, self.k), np.iinfo(np.int64).max)
 
-    def bound(self) -> np.ndarray:
-        return np.maximum(self.floor, self.best[:, -1].astype(float))
-
-    def meet(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
-        """Meet vectors in order of length, ``ROWS`` at a time."""
-        x = v.astype(float) @ self.basis
-        norms = np.sqrt((x**2).sum(1))
-        rests = [np.sqrt((x[:, f:] ** 2).sum(1)) for f in self.fronts]
-        for i in range(0, len(rows), ROWS):
-            part = slice(i, i + ROWS)
-            slack = 1e-9 * norms[part].max() * self.norm + 1e-6
-            need = self.bound() - slack
-            live = np.flatnonzero(norms[part].max() * self.norm >= need)
-            if not len(live):
-                continue
-            sums = np.zeros((len(norms[part]), len(live)))
-            keep, at = np.ones(sums.shape, bool), 0
-            for f, rest, own in zip(self.fronts, rests, self.rest, strict=True):
-                sums += x[part, at:f] @ self.q[live, at:f].T
-                keep &= sums + rest[part][:, None] * own[live][None, :] >= need[live][None, :]
-                at = f
-            r, c = np.nonzero(keep)
-            q = live[c]
-            other = rows[part][r] != self.rows[q]
-            r, q = r[other], q[other]
-            if len(r):
-                score = np.concatenate([np.einsum("ij,ij->i", v[part][r[j : j + 65536]], self.v[q[j : j + 65536]]) for j in range(0, len(r), 65536)])
-                self._take(q, score, ids[part][r], rows[part][r])
+    def need(self, longest: float) -> np.ndarray:
+        """The least product that could still count, with some slack for rounding."""
+        return np.maximum(self.floor, self.best[:, -1].astype(float)) - (1e-9 * longest * self.norm + 1e-6)
+
+    def live(self, longest: float) -> np.ndarray:
+        """Queries that vectors up to that length could matter to."""
+        return np.flatnonzero(longest * self.norm >= self.need(longest))
+
+    def meet(self, chunk: Chunk) -> None:
+        """Meet the vectors of a chunk, by partial products first."""
+        longest = float(chunk.norms.max(initial=0.0))
+        live, need = self.live(longest), self.need(longest)
+        if not len(live):
+            return
+        sums = np.zeros((len(chunk.rows), len(live)))
+        keep, at = np.ones(sums.shape, bool), 0
+        for f, rest, own in zip(self.fronts, chunk.rests, self.rest, strict=True):
+            sums += chunk.x[:, at:f] @ self.q[live, at:f].T
+            keep &= sums + rest[:, None] * own[live][None, :] >= need[live][None, :]
+            at = f
+        r, c = np.nonzero(keep)
+        q = live[c]
+        other = chunk.rows[r] != self.rows[q]
+        r, q = r[other], q[other]
+        if len(r):
+            score = np.concatenate([np.einsum("ij,ij->i", chunk.v[r[j : j + 65536]], self.v[q[j : j + 65536]]) for j in range(0, len(r), 65536)])
+            self._take(q, score, chunk.ids[r], chunk.rows[r])
 
     def _take(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         met = np.unique(q)
@@ -175,35 +226,44 @@ def top_k(df: DataFrame, is_query, k: int = 5, block: int = 4096, id_col: str =
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     basis = rotation(flat, d)
     size = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = written(flat.repartitionByRange(size, F.desc("norm"), "row").sortWithinPartitions(F.desc("norm"), "row"), "by-length")
-    seeds = laid.orderBy(F.desc("norm"), "row").limit(SEEDS).collect()
-    seed = np.array([r["row"] for r in seeds], np.int64), np.array([_id(r["vec_id"]) for r in seeds], np.int64), _matrix([r["v"] for r in seeds], d)
+    laid = flat.repartitionByRange(size, F.desc("norm"), "row").sortWithinPartitions(F.desc("norm"), "row")
+    chunks = written(chunked(laid, basis), "by-length")
+    seed = Chunk.read(chunks.orderBy(F.desc("longest")).first().asDict(), d)
     blocks = -(-n // block)
     queries = written(flat.where(is_query).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))), "queries")
 
     found = []
-    for b in range(blocks):
-        asked = queries.where(F.col("block") == b).collect()
-        if not asked:
+    for b in range(0, blocks, AT_ONCE):
+        by_block: dict[int, list] = {}
+        for r in queries.where(F.col("block").between(b, b + AT_ONCE - 1)).collect():
+            by_block.setdefault(r["block"], []).append(r)
+        ready = []
+        for asked in by_block.values():
+            own = np.array([r["row"] for r in asked], np.int64), _matrix([r["v"] for r in asked], d)
+            first = Block(*own, basis, k, np.full(len(asked), -np.inf))
+            first.meet(seed)
+            floor = np.where(first.best[:, -1] > np.iinfo(np.int64).min, first.best[:, -1].astype(float), -np.inf)
+            ready.append((Block(*own, basis, k, floor), np.array([r["vec_id"] for r in asked], np.int64)))
+        if not ready:
             continue
-        own = np.array([r["row"] for r in asked], np.int64), _matrix([r["v"] for r in asked], d)
-        first = Block(*own, basis, k, np.full(len(asked), -np.inf))
-        first.meet(*seed)
-        ready = Block(*own, basis, k, np.where(first.best[:, -1] > np.iinfo(np.int64).min, first.best[:, -1].astype(float), -np.inf))
-        names = np.array([r["vec_id"] for r in asked], np.int64)
-        sent = spark.sparkContext.broadcast((ready, names))
+        sent = spark.sparkContext.broadcast(ready)
 
         def run(batches, sent=sent):
-            block, names = sent.value
-            block.start()
+            for block, _ in sent.value:
+                block.start()
             for batch in batches:
-                ids = np.array([_id(x) for x in batch.column("vec_id").to_pylist()], np.int64)
-                block.meet(batch.column("row").to_numpy(), ids, _matrix(batch.column("v").to_pylist(), block.v.shape[1]))
-            q, place = np.nonzero(block.seen_rows < np.iinfo(np.int64).max)
-            ids = block.ids[q, place]
-            yield pa.RecordBatch.from_arrays([pa.array(block.rows[q]), pa.array(names[q]), pa.array(ids, mask=ids == NO_ID), pa.array(block.seen_rows[q, place]), pa.array(block.best[q, place])], ["query_row", "query_id", "vec_id", "row", "score"])
-
-        part = laid.select("row", "vec_id", "v").mapInArrow(run, kind)
+                for row in batch.to_pylist():
+                    asking = [block for block, _ in sent.value if len(block.live(row["longest"]))]
+                    if asking:
+                        chunk = Chunk.read(row, d)
+                        for block in asking:
+                            block.meet(chunk)
+            for block, names in sent.value:
+                q, place = np.nonzero(block.seen_rows < np.iinfo(np.int64).max)
+                ids = block.ids[q, place]
+                yield pa.RecordBatch.from_arrays([pa.array(block.rows[q]), pa.array(names[q]), pa.array(ids, mask=ids == NO_ID), pa.array(block.seen_rows[q, place]), pa.array(block.best[q, place])], ["query_row", "query_id", "vec_id", "row", "score"])
+
+        part = chunks.mapInArrow(run, kind)
         order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
         found.append(written(part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "found"))
         sent.unpersist()
