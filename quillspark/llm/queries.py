@@ -150,6 +150,17 @@ def _escaped_sql(text: str) -> str:
     return out
 
 
+def _matches(kind: str, rank: int, pattern: str, value: int, least: str = "true") -> str:
+    """Rows ``(row, kind, rank, s, e, value)`` of the matches of a pattern, from left to right."""
+    r = _quoted(pattern)
+    return f"""SELECT row, '{kind}' AS kind, {rank} AS rank, s, s + length(m) AS e, v AS value FROM (
+        SELECT row, ms[i] AS m, vs[i] AS v, CAST(list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM (
+        SELECT row, ms, vs, gs, unnest(range(1, len(ms) + 1)) AS i FROM (
+        SELECT row, regexp_extract_all(text, {r}) AS ms, regexp_extract_all(text, {r}, {value}) AS vs, regexp_split_to_array(text, {r}) AS gs FROM d))) WHERE {least}"""
+
+
+_ENTROPY = "list_sum(list_transform(map_values(list_histogram(string_split(value, ''))), lambda n: -n / length(value) * log2(n / length(value))))"
+
 #: DuckDB SQL where it can express the whole result.
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": f"""
@@ -171,4 +182,18 @@ ORACLE_SQL: dict[str, str] = {
           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op9_secrets": f"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, concat_ws('/', source, lang) AS repo, source AS owner FROM documents),
+        b AS MATERIALIZED ({_matches("assign", 1, secrets.ASSIGN.pattern, 2, "length(v) >= 6")} UNION ALL {_matches("access", 2, secrets.ACCESS.pattern, 0, "length(m) >= 20")}
+          UNION ALL {_matches("hex", 3, "[0-9a-f]{24,}", 0)}),
+        t AS ({_matches("entropy", 4, secrets.TOKEN.pattern, 0)}),
+        h AS (SELECT * FROM t WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND {_ENTROPY} >= {secrets.LEAST_ENTROPY}
+          AND NOT EXISTS (SELECT 1 FROM b WHERE b.row = t.row AND b.s < t.e AND t.s < b.e)),
+        c AS MATERIALIZED (SELECT * FROM b UNION ALL SELECT * FROM h),
+        w AS (SELECT value, count(DISTINCT coalesce('r' || repo, '')) AS repos, count(DISTINCT coalesce('o' || owner, '')) AS owners FROM c JOIN d ON c.row = d.row GROUP BY value),
+        f AS (SELECT c.*, owners <= 1 AND repos <= 16 AS live, kind || ':' || s || ':' || e AS span FROM c JOIN w ON c.value = w.value WHERE kind <> 'entropy' OR (owners <= 1 AND repos <= 16)),
+        g AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live,
+          string_agg(span, ',' ORDER BY s, rank) AS spans, string_agg(span, ',' ORDER BY s, rank) FILTER (kind <> 'entropy') AS base FROM f GROUP BY row)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+        FROM d LEFT JOIN g ON d.row = g.row""",
 }

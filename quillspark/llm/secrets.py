@@ -102,18 +102,21 @@ def ownership(found: DataFrame) -> DataFrame:
     return repos.join(owners, "hash").select("hash", "repos", "owners", "hits")
 
 
-def find(df: DataFrame, max_owners: int = 1, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "repo", owner_col: str = "owner") -> DataFrame:
+def find(df: DataFrame, max_owners: int = 1, max_repos: int = 16, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "repo", owner_col: str = "owner") -> DataFrame:
     """``(doc_id, spans)``, a row per row; spans carry their ownership.
 
     ``spans`` is an array of ``(kind, start, end, hash, repos, owners, live)``
-    by start, then kind; ``live`` means at most ``max_owners`` owners.  Null
-    and empty texts have no spans; repeated rows are each reported.
+    by start, then kind; ``live`` means at most ``max_owners`` owners and
+    ``max_repos`` repositories: what one owner copies to more of them is an
+    example too.  Null and empty texts have no spans; repeated rows are each
+    reported; texts are read whole whatever their length; further columns,
+    however named, play no part.  An empty table has an empty result.
     """
     found = written(scan(df, id_col, text_col, repo_col, owner_col).withColumn("row", F.monotonically_increasing_id()), "candidates")
     some, none = found.where(F.size("found") > 0), found.where(F.size("found") == 0)
     owned = written(ownership(some), "ownership")
     each = some.select("row", F.explode("found").alias("c")).select("row", "c.*").join(owned, "hash", "left")
-    each = each.withColumn("live", F.col("owners") <= max_owners).where(F.col("kind").isin(*BASE) | F.col("live"))
+    each = each.withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).where(F.col("kind").isin(*BASE) | F.col("live"))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     span = F.struct("start", rank.alias("rank"), "kind", "end", "hash", "repos", "owners", "live")
     per_row = each.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
