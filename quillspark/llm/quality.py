@@ -173,6 +173,19 @@ def labelled(feats: DataFrame, labels: DataFrame, label_col: str, id_col: str =
     return feats.join(y, "doc_id").select("x", "label")
 
 
+def train(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
+    """Fit on about ``max_rows`` labelled documents, those with the smallest id hashes.
+
+    Being that few narrow rows, their labels are broadcast, and only their
+    texts are looked at.  Labels other than 0 and 1, and null ids, are left out.
+    """
+    known = keyed(labels, doc_id=id_col, label=label_col).where("doc_id is not null and label in (0, 1)").distinct()
+    share = min(1.0, max_rows / max(1, known.count()))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    texts_of = keyed(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    return fit(labelled(features(texts_of), F.broadcast(chosen), "label"))
+
+
 def keep(df: DataFrame, model: Discriminant, threshold: float, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with a score of ``threshold`` or more, unchanged."""
 

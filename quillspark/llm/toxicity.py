@@ -187,6 +187,19 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -60, 60)))
 
 
+    def accuracies(self) -> list[tuple[float, float]]:
+        """P(fires | toxic) and P(silent | clean) of each voter, whatever its parent says."""
+        memo: dict[tuple[int, int], float] = {}
+
+        def fires(i: int, y: int) -> float:
+            if (i, y) not in memo:
+                above = fires(self.parent[i], y) if self.parent[i] >= 0 else 0.0
+                memo[i, y] = float((1 - above) * self.table[i, y, 0] + above * self.table[i, y, 1])
+            return memo[i, y]
+
+        return [(fires(i, 1), 1 - fires(i, 0)) for i in range(len(self.parent))]
+
+
 def _tree(fired: np.ndarray, weight: np.ndarray) -> tuple[int, ...]:
     """Parents in the maximum spanning tree of conditional mutual information.
 
