@@ -185,6 +185,13 @@ def test_secret_ownership(spark):
     assert secrets.find(docs.limit(0)).count() == 0
 
 
+def test_tokens_in_many_repositories_of_one_owner_go(spark):
+    rows = [(i, "x Ab3dEf6hIj9kLm2nOp5q7 y " + "word " * 300_000 * (i == 0), f"r{i}", "o", 1, 2) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string, row long, hash long")
+    assert all(len(r["spans"]) == 1 for r in secrets.find(docs).collect())
+    assert all(not r["spans"] for r in secrets.find(docs, max_repos=3).collect())
+
+
 @pytest.mark.parametrize("copies", [1, 2])
 def test_entropy_tokens_of_many_owners_go(spark, copies):
     rows = [(i, "x Ab3dEf6hIj9kLm2nOp5q7 y", "r", f"o{i % copies}") for i in range(4)]
