@@ -17,13 +17,17 @@ shares a member (65 at most) is linked to the smallest there.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillspark.llm.common import arrow_map, keyed, written
+from quillspark.llm.common import arrow_map, keyed, unused, written
 from quillspark.llm.components import components
 
 BITS = 64
@@ -140,17 +144,26 @@ def near_duplicates(df: DataFrame, max_bits: int = 2, segments: int = 5, bucket:
 
 SHINGLE = 5
 SKETCH = 2048  # coordinates that shingles are dealt over before the projection
-SEGMENT_BITS = 20
-SEGMENTS = 80
+SEGMENT_BITS = 19
+SEGMENTS = 96
 AHEAD = 32  # bits after the segment, by which most chance meetings end at once
 FEW = 6  # members of a key that are all compared with each other at first
-TILE = 512  # members of a crowded key that meet those of another tile at once
+NEAREST = 4  # leaders near to a later member, the first ones, of which it meets the nearest
+TILE = 512  # members of a crowded key that meet those of another tile at once, and the most that lead
+#: Segments that are met at once, and the candidates between two groups of a
+#: crowded key that are settled in turn, best first (None: all).
+PASSES = ((range(32), (1,)), (range(32, 96), (1, 16, None)))
 DOUBT = 0.07  # estimates this close to the limit are settled by the shingles themselves
+SMALL = 50  # shingles; estimates of texts with fewer are always settled by the shingles
 
 
 def planes(seed: int = 11) -> np.ndarray:
-    """Random signs, one column for each bit of a wide fingerprint."""
-    return np.random.default_rng(seed).integers(0, 2, (SKETCH, SEGMENTS * SEGMENT_BITS), np.int8).astype(np.float32) * 2 - 1
+    """Random planes, one column for each bit of a wide fingerprint.
+
+    Normal numbers make every bit a fair measure of the angle; sums of signs
+    would be zero for many texts of few shingles.
+    """
+    return np.random.default_rng(seed).standard_normal((SKETCH, SEGMENTS * SEGMENT_BITS), np.float32)
 
 
 def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
@@ -193,9 +206,11 @@ def likeness(differing: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
 def chained(a: np.ndarray, b: np.ndarray, start: np.ndarray, allowed: np.ndarray) -> np.ndarray:
     """Pigeonring test of fingerprints (rows of bytes) from a shared segment on.
 
-    Differences of the first l segments from ``start`` on are held against l
-    times the budget of a segment and four deviations of such a sum, for l of
-    4, 16 and 48; what passes these few goes on to the full distance.
+    Differences of the first l segments from ``start`` on are held against the
+    proportional budget, l times that of a segment, for l of 4, 16 and 48; what
+    passes goes on to the full distance.  The shared segment is only one of the
+    starts that the pigeonring principle allows, so four deviations of such a
+    sum are granted on top of the budget.
     """
     whole = SEGMENTS * SEGMENT_BITS // 8
     ok = np.ones(len(a), bool)
@@ -208,67 +223,79 @@ def chained(a: np.ndarray, b: np.ndarray, start: np.ndarray, allowed: np.ndarray
     return ok
 
 
-def segment_keys(fps: np.ndarray) -> np.ndarray:
-    """``number, segment, bits ahead`` of each segment of fingerprints in one long each."""
-    bits = np.unpackbits(fps, axis=1, bitorder="little").reshape(len(fps), SEGMENTS, SEGMENT_BITS)
-    seg = bits.astype(np.int64) @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64))
-    ahead = np.roll(seg, -1, 1) | (np.roll(seg, -2, 1) & ((1 << (AHEAD - SEGMENT_BITS)) - 1)) << SEGMENT_BITS
-    return (np.arange(SEGMENTS) << SEGMENT_BITS | seg) << AHEAD | ahead
+def segment_keys(fps: np.ndarray, segments: range) -> np.ndarray:
+    """``number, segment, bits ahead`` of these segments of fingerprints in one long each."""
+    out = np.empty((len(fps), len(segments)), np.int64)
+    for i in range(0, len(fps), 512):  # bits take much room as numbers
+        bits = np.unpackbits(fps[i : i + 512], axis=1, bitorder="little").reshape(-1, SEGMENTS, SEGMENT_BITS)
+        seg = bits.astype(np.int64) @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64))
+        ahead = np.roll(seg, -1, 1) | (np.roll(seg, -2, 1) & ((1 << (AHEAD - SEGMENT_BITS)) - 1)) << SEGMENT_BITS
+        out[i : i + 512] = ((np.arange(SEGMENTS) << SEGMENT_BITS | seg) << AHEAD | ahead)[:, segments.start : segments.stop]
+    return out
 
 
 class _Key:
     """The members of one key that later ones are compared with.
 
     The first ``FEW`` are compared with each other and lead; a later member is
-    compared with the leader nearest to it in the bits ahead, and leads itself
-    if none is near.  Once a near pair is passed over that way the key is open:
-    its members, earlier ones included, are handed on to :func:`_crowds`.
+    compared with the nearest of the first leaders near to it in the bits ahead,
+    and leads itself if none is near, up to ``TILE`` leaders.  Members come in
+    the same order under every key, so the first leaders of different keys are
+    often the same, and pairs few.  Members with one root needn't be compared.
+    Once a near pair of different roots is passed over
+    that way, or there are more members than ``TILE``, the key is open: its
+    members, earlier ones included, are handed on to :func:`_crowds`, where all
+    of them meet.  So the work on a member is bounded however many there are.
     """
 
     def __init__(self, key: int):
-        self.key, self.n, self.cls, self.bits = key, 0, [], np.zeros(8, np.int64)
-        self.open, self.held, self.seen = False, [], np.zeros(8, np.int64)
+        self.key, self.n, self.lead, self.open, self.held = key, 0, 0, False, []
+        self.leaders, self.seen = (np.zeros((3, TILE), np.int64) for _ in range(2))  # cls, root, bits ahead
 
-    def pairs(self, cls: np.ndarray, ahead: np.ndarray, limit: int) -> tuple[list[tuple[int, int]], list[int]]:
+    def pairs(self, cls: np.ndarray, root: np.ndarray, ahead: np.ndarray, limit: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+        """``(cls, cls, root, root)`` to compare, and members to hand on."""
         out, members = [], []
-        for c, x in zip(cls.tolist(), ahead.tolist(), strict=True):
-            apart = np.bitwise_count(self.bits[: len(self.cls)] ^ x)
-            near = apart <= limit
-            before = len(out)
-            if self.n < FEW:
-                out += [(self.cls[i], c) for i in np.flatnonzero(near)]
-            elif near.any():
-                out.append((self.cls[int(apart.argmin())], c))
+        for c, r, x in zip(cls.tolist(), root.tolist(), ahead.tolist(), strict=True):
+            who, roots, bits = self.leaders[:, : self.lead]
+            apart = np.bitwise_count(bits ^ x)
+            near = np.flatnonzero(apart <= limit)
+            chosen = near
+            if self.n >= FEW and len(near):
+                first = near[:NEAREST]
+                chosen = first[[apart[first].argmin()]]
+            chosen = chosen[roots[chosen] != r]
+            out += [(int(who[i]), c, int(roots[i]), r) for i in chosen]
+            if not self.open:
+                _, roots, bits = self.seen[:, : self.n]
+                met = (np.bitwise_count(bits ^ x) <= limit) & (roots != r)
+                if self.n == TILE or met.sum() > len(chosen):
+                    self.open, members, self.held = True, members + self.held, []
+                else:
+                    self.seen[:, self.n] = c, r, x
+                    self.held.append(c)
             if self.open:
                 members.append(c)
-            else:
-                met = np.bitwise_count(self.seen[: self.n] ^ x) <= limit
-                if self.n == len(self.seen):
-                    self.seen = np.concatenate([self.seen, self.seen])
-                self.seen[self.n] = x
-                self.held.append(c)
-                if met.sum() > len(out) - before:
-                    self.open, members, self.held = True, members + self.held, []
-            if self.n < FEW or not near.any():
-                if len(self.cls) == len(self.bits):
-                    self.bits = np.concatenate([self.bits, self.bits])
-                self.bits[len(self.cls)] = x
-                self.cls.append(c)
+            if self.lead < TILE and (self.n < FEW or not len(near)):
+                self.leaders[:, self.lead] = c, r, x
+                self.lead += 1
             self.n += 1
         return out, members
 
 
+COMPARED = "a long, b long, ra long, rb long, start int, members binary"
+
+
 def _compared(batches, limit: int):
-    """Pairs of members of each key, from rows sorted by key.
+    """Pairs of members of each key with different roots, from rows sorted by key.
 
     A row's key has the segment, and below it the bits after it on the ring; a
     pair may differ there in ``limit`` bits.  Small keys are met as arrays,
-    others and those at a batch's ends by :class:`_Key`.  A member of an open
-    key comes as ``(cls, key, -1)``.
+    others and those at a batch's ends by :class:`_Key`.  Members of an open
+    key come together, in a row with the key as ``a``.
     """
     low, now = (1 << AHEAD) - 1, _Key(-1)
     for batch in batches:
-        packed, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
+        packed, cls, root = (batch.column(c).to_numpy() for c in ("key", "cls", "root"))
         if not len(packed):
             continue
         key, ahead = packed >> AHEAD, packed & low
@@ -276,42 +303,44 @@ def _compared(batches, limit: int):
         sizes = np.diff(np.append(starts, len(key)))
         single = sizes <= FEW
         single[[0, -1]] = False
-        a, b, k, c, d = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         small = np.flatnonzero(single & (sizes > 1))
+        pairs, members = [np.zeros((0, 5), np.int64)], {}
         for i in range(FEW):
             for j in range(i):
                 at = starts[small[sizes[small] > i]]
-                near = np.bitwise_count(ahead[at + i] ^ ahead[at + j]) <= limit
-                a.append(cls[(at + j)[near]])
-                b.append(cls[(at + i)[near]])
-                k.append(key[at[near]])
+                x, y = at + j, at + i
+                near = (np.bitwise_count(ahead[y] ^ ahead[x]) <= limit) & (root[x] != root[y])
+                x, y = x[near], y[near]
+                pairs.append(np.stack([cls[x], cls[y], root[x], root[y], key[x] >> SEGMENT_BITS], 1))
         for run in np.flatnonzero(~single):
             part = slice(starts[run], starts[run] + sizes[run])
             if now.key != key[part.start]:
                 now = _Key(int(key[part.start]))
-            found, members = now.pairs(cls[part], ahead[part], limit)
+            found, handed = now.pairs(cls[part], root[part], ahead[part], limit)
             if found:
-                x, y = np.array(found, np.int64).T
-                a.append(x)
-                b.append(y)
-                k.append(np.full(len(x), now.key))
-            c.append(np.array(members, np.int64))
-            d.append(np.full(len(members), now.key))
-        a, b, c, d = (np.concatenate(x) for x in (a, b, c, d))
-        start = np.concatenate([np.concatenate(k) >> SEGMENT_BITS, np.full(len(c), -1)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(a, b), c])), pa.array(np.concatenate([np.maximum(a, b), d])), pa.array(start)], ["a", "b", "start"])
-
-
-def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, start: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which candidates (rows of bytes, shingle counts) are near, and whether surely so."""
+                pairs.append(np.array([(*f, now.key >> SEGMENT_BITS) for f in found], np.int64))
+            if handed:
+                members[now.key] = np.array(handed, np.int64).tobytes()
+        p, n = np.concatenate(pairs), len(members)
+        turned = p[:, 0] > p[:, 1]
+        p[turned] = p[turned][:, [1, 0, 3, 2, 4]]
+        none = pa.nulls(n, pa.int64())
+        rest = (pa.concat_arrays([pa.array(p[:, i]), none]) for i in (1, 2, 3))
+        start = np.concatenate([p[:, 4], np.full(n, -1)]).astype(np.int32)
+        held = pa.concat_arrays([pa.nulls(len(p), pa.binary()), pa.array(list(members.values()), pa.binary())])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[:, 0], np.array(list(members), np.int64)])), *rest, pa.array(start), held], ["a", "b", "ra", "rb", "start", "members"])
+
+
+def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, start: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which candidates (rows of bytes, shingle counts) are near, whether surely so, and how similar they look."""
     low = max(0.05, least - DOUBT)
     cosine = np.clip(low / (1 + low) * (n + m) / np.sqrt(n * m), -1, 1)
     allowed = np.arccos(cosine) / np.pi * SEGMENTS * SEGMENT_BITS
     ok = np.flatnonzero(chained(a, b, start, allowed))
     guess = likeness(np.bitwise_count(a[ok] ^ b[ok]).sum(1, dtype=np.int64), n[ok], m[ok])
-    ok, guess = ok[guess >= low], guess[guess >= low]
-    small = np.minimum(n[ok], m[ok]) < 50  # few shingles make a rough estimate
-    return ok, (guess >= least + DOUBT) & ~small
+    small = np.minimum(n[ok], m[ok]) < SMALL  # few shingles make a rough estimate
+    kept = (guess >= low) | small
+    return ok[kept], ((guess >= least + DOUBT) & ~small)[kept], guess[kept]
 
 
 def _runs(batches, names: tuple[str, ...]):
@@ -332,11 +361,16 @@ def _runs(batches, names: tuple[str, ...]):
         yield pa.Table.from_batches(held)
 
 
-def _met(batches, limit: int, least: float, step: int = 128):
-    """Near pairs of each tile between different roots: of sure ones one for two roots.
+MET = "key long, a long, b long, ra long, rb long, sure boolean, guess double, more boolean"
+
+
+def _met(batches, limit: int, least: float, most: int | None, step: int = 128):
+    """Near pairs of each tile between different roots, few for any two roots.
 
     Rows are sorted by tile; all pairs of a tile that are near in the bits ahead
-    are held against their whole fingerprints.
+    are held against their whole fingerprints.  Of two roots' pairs a sure one
+    comes alone, else the ``most`` that look most similar (None: all); ``more``
+    says that some are left.
     """
     for t in _runs(batches, ("key", "x", "y")):
         key, x, y = (t.column(c)[0].as_py() for c in ("key", "x", "y"))
@@ -348,32 +382,37 @@ def _met(batches, limit: int, least: float, step: int = 128):
         bits = np.unpackbits(fps, axis=1, bitorder="little")[:, ((start + 1) * SEGMENT_BITS + np.arange(AHEAD)) % size]
         ahead = np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.uint32).ravel()
         left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
-        sure_of: dict[tuple[int, int], tuple[int, int]] = {}
-        doubt = []
+        found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool), np.zeros(0))]
         for i in range(0, len(left), step):
             own = left[i : i + step]
             ok = (np.bitwise_count(ahead[own, None] ^ ahead[None, right]) <= limit) & (root[own, None] != root[None, right])
             if x == y:
                 ok &= own[:, None] < right[None, :]
             r, c = np.nonzero(ok)
-            for j in range(0, len(r), 1 << 15):
-                p, q = own[r[j : j + (1 << 15)]], right[c[j : j + (1 << 15)]]
-                kept, sure = _near(fps[p], fps[q], n[p].astype(float), n[q].astype(float), np.full(len(p), start), least)
-                p, q = p[kept], q[kept]
-                for u, v in zip(p[sure].tolist(), q[sure].tolist(), strict=True):
-                    sure_of.setdefault((min(root[u], root[v]), max(root[u], root[v])), (u, v))
-                doubt += list(zip(p[~sure].tolist(), q[~sure].tolist(), strict=True))
-        doubt = [(u, v) for u, v in doubt if (min(root[u], root[v]), max(root[u], root[v])) not in sure_of]
-        if pairs := [*sure_of.values(), *doubt]:
-            u, v = np.array(pairs).T
-            swap = cls[u] > cls[v]
-            u, v = np.where(swap, v, u), np.where(swap, u, v)
-            sure = np.arange(len(u)) < len(sure_of)
-            yield pa.RecordBatch.from_arrays([pa.array(z) for z in (cls[u], cls[v], root[u], root[v], sure)], ["a", "b", "ra", "rb", "sure"])
-
-
-def _crowds(members: DataFrame, rooted: DataFrame, classes: DataFrame, limit: int, least: float) -> DataFrame:
-    """``(a, b, ra, rb, sure)``: near pairs of different roots in ``members (cls, key)`` of open keys.
+            for j in range(0, len(r), 1 << 13):
+                p, q = own[r[j : j + (1 << 13)]], right[c[j : j + (1 << 13)]]
+                kept, sure, guess = _near(fps[p], fps[q], n[p].astype(float), n[q].astype(float), np.full(len(p), start), least)
+                found.append((p[kept], q[kept], sure, guess))
+        u, v, sure, guess = map(np.concatenate, zip(*found, strict=True))
+        if not len(u):
+            continue
+        lo, hi = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+        order = np.lexsort((-guess, ~sure, hi, lo))
+        u, v, sure, guess, lo, hi = (z[order] for z in (u, v, sure, guess, lo, hi))
+        first = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+        count = np.diff(np.append(first, len(u)))
+        rank = np.arange(len(u)) - np.repeat(first, count)
+        allowed = len(u) if most is None else most
+        kept = rank < np.repeat(np.where(sure[first], 1, allowed), count)
+        more = np.repeat(~sure[first] & (count > allowed), count)
+        u, v, sure, guess, more = (z[kept] for z in (u, v, sure, guess, more))
+        swap = cls[u] > cls[v]
+        u, v = np.where(swap, v, u), np.where(swap, u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(z) for z in (np.full(len(u), key), cls[u], cls[v], root[u], root[v], sure, guess, more)], [c.split()[0] for c in MET.split(", ")])
+
+
+def _crowds(members: DataFrame, rooted: DataFrame, classes: DataFrame, limit: int, least: float, most: int | None) -> DataFrame:
+    """:func:`_met` of ``members (cls, key)`` of open keys, with their roots as they are now.
 
     Every pair of members that is near in the bits ahead is looked at, unless
     its ends are already linked.  A key's members are dealt over tiles of about
@@ -386,22 +425,36 @@ def _crowds(members: DataFrame, rooted: DataFrame, classes: DataFrame, limit: in
     dealt = held.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("cls", "key"), F.col("parts")).cast("int"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cls", "root", "key", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
     whole = tiles.join(classes.select("cls", "n", "fp"), "cls").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    found = whole.mapInArrow(lambda batches: _met(batches, limit, least), "a long, b long, ra long, rb long, sure boolean")
-    return found.groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"), F.max("sure").alias("sure"))
+    return whole.mapInArrow(lambda batches: _met(batches, limit, least, most), MET)
+
+
+def _chosen(doubtful: DataFrame, most: int | None) -> DataFrame:
+    """``(a, b, ra, rb)``: of ``doubtful`` the ``most`` that look most similar between any two roots (None: all)."""
+    lo, hi = F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi")
+    pairs = doubtful.groupBy("a", "b", lo, hi).agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"), F.max("guess").alias("guess"))
+    if most is not None:
+        rank = F.row_number().over(Window.partitionBy("lo", "hi").orderBy(F.desc("guess"), "a", "b"))
+        pairs = pairs.withColumn("rank", rank).where(F.col("rank") <= most)
+    return pairs.select("a", "b", "ra", "rb")
 
 
 def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """``(doc_id, cls, component_id)``: texts whose five-word shingles are that similar.
 
     Texts with equal sets of shingles are one class.  Classes that share one of the
-    80 segments of 20 bits, and are near in the 32 bits after it, are
+    96 segments of 19 bits, and are near in the 32 bits after it, are
     candidates.  Up to six under a key are all compared, later ones at first
     with the nearest that leads; where that passes over a near pair, all pairs
-    under the key that are not linked by then are compared as well.  Candidates
+    under the key that are not linked by then are compared as well.  Between
+    two groups of linked texts the most similar candidate is settled first,
+    then 16, then all of them, as long as none has linked the two.  The first 32
+    segments come first, so that what they link needn't meet in others.  Candidates
     pass the pigeonring test, then the full distance, from which the similarity
-    is estimated; where the estimate is near the limit, the shingles themselves
-    decide.  At a similarity of 0.8 a pair shares a segment with probability
-    0.95, at 0.85 with 0.99.  Over some ten million different texts, wider
+    is estimated; where the estimate is near the limit, or a text has few
+    shingles, the shingles themselves decide.  Texts with too few shingles to
+    be that similar to any other set need no candidates.  At a similarity of
+    0.8 a pair is a candidate with probability 0.986, at 0.85 with 0.999.
+    Over some five million different texts, wider
     segments (and more of them) keep keys from filling by chance.  Nulls,
     copies and empty tables as in :func:`near_duplicates`.  ``row_col`` names a
     column that tells rows of a written table apart; else one is written.
@@ -421,27 +474,15 @@ def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col:
     firsts = written(firsts, "wide-firsts")
     classes = written(prints.join(firsts.select("row"), "row", "left_semi").select("cls", "row", "n", "fp"), "wide-classes")
 
-    def keys_of(batch):
-        fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        return {"cls": pa.array(np.repeat(batch.column("cls").to_numpy(), SEGMENTS)), "key": pa.array(segment_keys(fps).ravel())}
-
-    keys = arrow_map(classes.where("n > 0").select("cls", "fp"), keys_of, "cls long, key long")
-    # members of a key stand together; classes are hashes, so in a random order that is the same for all keys
-    key = F.shiftright("key", AHEAD)
-    dealt = keys.repartition(key).sortWithinPartitions(key, "cls").select("key", "cls")
-    share = np.arccos(2 * least / (1 + least)) / np.pi
-    limit = int(AHEAD * share + 2.5 * np.sqrt(AHEAD * share * (1 - share)))
-    met = dealt.mapInArrow(lambda batches: _compared(batches, limit), "a long, b long, start int")
-    met = written(met.groupBy("a", "b", F.expr("start < 0").alias("crowd")).agg(F.min("start").alias("start")), "wide-pairs")
-    pairs = met.where("not crowd").select("a", "b", "start")
-    left = classes.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("fp").alias("x"))
-    right = classes.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("fp").alias("y"))
-
     def near(batch):
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
         n, m = (batch.column(c).to_numpy().astype(float) for c in ("n", "m"))
-        ok, sure = _near(a, b, n, m, batch.column("start").to_numpy(), least)
-        return {"a": batch.column("a").take(pa.array(ok)), "b": batch.column("b").take(pa.array(ok)), "sure": pa.array(sure)}
+        ok, sure, guess = _near(a, b, n, m, batch.column("start").to_numpy(), least)
+        return {c: batch.column(c).take(pa.array(ok)) for c in ("a", "b", "ra", "rb")} | {"sure": pa.array(sure), "guess": pa.array(guess)}
+
+    def handed(batch):
+        each = [np.frombuffer(m, np.int64) for m in batch.column("members").to_pylist()]
+        return {"cls": pa.array(np.concatenate(each)), "key": pa.array(np.repeat(batch.column("a").to_numpy(), [len(m) for m in each]))}
 
     def shingles(batch):
         return {"cls": batch.column("cls"), "h": pa.array([shingle_hashes(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())}
@@ -456,21 +497,73 @@ def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col:
         at = pa.array(kept, pa.int64())
         return {"a": batch.column("ra").take(at), "b": batch.column("rb").take(at)}
 
-    def settled(close):
-        """Links of the roots of ``close (a, b, ra, rb, sure)``; shingles decide on what isn't sure."""
-        doubtful = close.where("not sure").drop("sure")
+    def settled(doubtful):
+        """Links of the roots of ``doubtful (a, b, ra, rb)`` that the shingles confirm."""
         asked = written(doubtful.select(F.col("a").alias("cls")).union(doubtful.select("b")).distinct().join(classes.select("cls", "row"), "cls"), "wide-asked")
         held = written(arrow_map(src.select("row", "text").join(asked, "row").select("cls", "text"), shingles, "cls long, h binary"), "wide-shingles")
         both = doubtful.join(held.select(F.col("cls").alias("a"), F.col("h").alias("x")), "a").join(held.select(F.col("cls").alias("b"), F.col("h").alias("y")), "b")
-        return close.where("sure").select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(arrow_map(both.select("ra", "rb", "x", "y"), exact, "a long, b long"))
-
-    close = written(arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "start", "n", "m", "x", "y"), near, "a long, b long, sure boolean"), "wide-close")
-    found = components(settled(close.withColumn("ra", F.col("a")).withColumn("rb", F.col("b"))))
-    rooted = written(firsts.join(found, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root")), "wide-rooted")
-    members = met.where("crowd").select(F.col("a").alias("cls"), F.col("b").alias("key"))
-    crowds = written(_crowds(members, rooted, classes, limit, least), "wide-met")
-    found = components(settled(crowds)).withColumnRenamed("root", "top")
-    rooted = written(rooted.join(found, F.col("root") == F.col("node"), "left").select("cls", "first", F.coalesce("top", "root").alias("root")), "wide-rooted")
+        return arrow_map(both.select("ra", "rb", "x", "y"), exact, "a long, b long")
+
+    def joined(rooted, links):
+        """``rooted`` after ``links (a, b)`` of its roots, and where those roots went."""
+        found = components(links).withColumnRenamed("root", "top")
+        now = rooted.join(found, F.col("root") == F.col("node"), "left").select("cls", "first", F.coalesce("top", "root").alias("root"))
+        return written(now, "wide-rooted"), found
+
+    def apart(close, found):
+        """``close`` with the roots as they are now, without what has become one."""
+        for end in ("ra", "rb"):
+            close = close.join(found.select(F.col("node").alias(end), F.col("top").alias(f"{end}_top")), end, "left").withColumn(end, F.coalesce(f"{end}_top", end)).drop(f"{end}_top")
+        return close.where("ra <> rb")
+
+    def linked(rooted, close, most):
+        """``rooted`` after the links of ``close (a, b, ra, rb, sure, guess)``, and where roots went.
+
+        The sure links come first, then what the shingles say of the others.
+        """
+        moves = []
+        sure = close.where("sure").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        if not sure.isEmpty():
+            rooted, found = joined(rooted, sure)
+            moves.append(found)
+        doubtful = written(_chosen(reduce(apart, moves, close.where("not sure")), most), "wide-doubtful")
+        if not doubtful.isEmpty():
+            rooted, found = joined(rooted, settled(doubtful))
+            moves.append(found)
+        return rooted, moves
+
+    fewest = max(1, math.ceil(least / (1 - least) - 1e-9)) if least < 1 else math.inf  # n of n + 1 shingles
+    share = np.arccos(2 * least / (1 + least)) / np.pi
+    limit = int(AHEAD * share + 2.5 * np.sqrt(AHEAD * share * (1 - share)))
+    left = classes.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("fp").alias("x"))
+    right = classes.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("fp").alias("y"))
+    rooted = firsts.select("cls", "first", F.col("cls").alias("root"))
+    for segments, rounds in PASSES:
+
+        def keys_of(batch, segments=segments):
+            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            many = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), len(segments)))
+            return {"cls": many("cls"), "root": many("root"), "key": pa.array(segment_keys(fps, segments).ravel())}
+
+        known = classes.where(F.col("n") >= float(fewest)).select("cls", "fp").join(rooted.select("cls", "root"), "cls")
+        keys = arrow_map(known.select("cls", "root", "fp"), keys_of, "cls long, root long, key long")
+        # members of a key stand together; classes are hashes, so in a random order that is the same for all keys
+        key = F.shiftright("key", AHEAD)
+        dealt = keys.repartition(key).sortWithinPartitions(key, "cls").select("key", "cls", "root")
+        met = written(dealt.mapInArrow(lambda batches: _compared(batches, limit), COMPARED), "wide-met-keys")
+        pairs = met.where("members is null").groupBy("a", "b").agg(F.min("start").alias("start"), F.first("ra").alias("ra"), F.first("rb").alias("rb")).select("a", "b", "ra", "rb", "start")
+        close = arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "start", "n", "m", "x", "y"), near, "a long, b long, ra long, rb long, sure boolean, guess double")
+        rooted, _ = linked(rooted, written(close, "wide-close"), None)
+
+        members = arrow_map(met.where("members is not null").select("a", "members"), handed, "cls long, key long")
+        for most in rounds:
+            if members.isEmpty():
+                break
+            crowds = written(_crowds(members, rooted, classes, limit, least, most), "wide-met")
+            rooted, moves = linked(rooted, crowds, most)
+            # keys where two roots have more candidates, and are not one by now
+            open_keys = reduce(apart, moves, crowds.where("more").select("key", "ra", "rb").distinct()).select("key").distinct()
+            members = written(members.join(open_keys, "key", "left_semi"), "wide-left")
     names = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "wide-names")
     named = written(rooted.join(names, "root").select("cls", "component_id"), "wide-named")
     return prints.select("doc_id", "cls").join(named, "cls", "left").select("doc_id", "cls", "component_id")
@@ -493,7 +586,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Among rows that repeat that id, the first one written stays; a component
     whose ids are all null keeps one row.
     """
-    row = "_simhash_row"
+    row = unused(df, "row")
     whole = written(df.withColumn(row, F.monotonically_increasing_id()), "whole")
     keyed_rows = whole.select(F.struct(F.col(f"`{id_col}`").isNull().alias("no"), F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row")).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     found = near_duplicates(keyed_rows, **options) if least is None else similar(keyed_rows.withColumn("row", F.col("doc_id.row")), least, row_col="row")
