@@ -18,14 +18,12 @@ shares a member (65 at most) is linked to the smallest there.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.llm.common import arrow_map, keyed, unused, written
 from quillspark.llm.components import components
@@ -149,10 +147,11 @@ SEGMENTS = 96
 AHEAD = 32  # bits after the segment, by which most chance meetings end at once
 FEW = 6  # members of a key that are all compared with each other at first
 NEAREST = 4  # leaders near to a later member, the first ones, of which it meets the nearest
-TILE = 512  # members of a crowded key that meet those of another tile at once, and the most that lead
-#: Segments that are met at once, and the candidates between two groups of a
-#: crowded key that are settled in turn, best first (None: all).
-PASSES = ((range(32), (1,)), (range(32, 96), (1, 16, None)))
+TILE = 512  # members of a group that meet those of another tile at once, and the most that lead a key
+COPIES = 64  # tiles of a group at most, by members: larger groups have larger tiles, so that rows grow with members
+HELD = 1 << 20  # shingles of a tile, about: tiles of long texts are smaller
+FIRST = 32  # segments whose candidates make the groups
+LOOSE = 0.25  # estimated similarity of candidates that come into one group; chance makes 0.1 at most
 DOUBT = 0.07  # estimates this close to the limit are settled by the shingles themselves
 SMALL = 50  # shingles; estimates of texts with fewer are always settled by the shingles
 
@@ -241,61 +240,65 @@ class _Key:
     compared with the nearest of the first leaders near to it in the bits ahead,
     and leads itself if none is near, up to ``TILE`` leaders.  Members come in
     the same order under every key, so the first leaders of different keys are
-    often the same, and pairs few.  Members with one root needn't be compared.
-    Once a near pair of different roots is passed over
-    that way, or there are more members than ``TILE``, the key is open: its
-    members, earlier ones included, are handed on to :func:`_crowds`, where all
-    of them meet.  So the work on a member is bounded however many there are.
+    often the same, and pairs few.  Members of one group needn't be compared.
+    Unless ``hand`` is off, the key is open once a near pair of different groups
+    is passed over that way, or could be with more members than ``TILE``: its
+    members, earlier ones included, are handed on, and all of them meet
+    elsewhere.  So the work on a member is bounded however many there are.
     """
 
-    def __init__(self, key: int):
-        self.key, self.n, self.lead, self.open, self.held = key, 0, 0, False, []
-        self.leaders, self.seen = (np.zeros((3, TILE), np.int64) for _ in range(2))  # cls, root, bits ahead
+    def __init__(self, key: int, hand: bool = True):
+        self.key, self.n, self.lead, self.kept, self.open, self.held = key, 0, 0, 0, not hand, []
+        self.hand = hand
+        self.leaders, self.seen = (np.zeros((3, TILE), np.int64) for _ in range(2))  # cls, group, bits ahead
 
-    def pairs(self, cls: np.ndarray, root: np.ndarray, ahead: np.ndarray, limit: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
-        """``(cls, cls, root, root)`` to compare, and members to hand on."""
+    def pairs(self, cls: np.ndarray, grp: np.ndarray, ahead: np.ndarray, limit: int) -> tuple[list[tuple[int, int]], list[int]]:
+        """``(cls, cls)`` to compare, and members to hand on."""
         out, members = [], []
-        for c, r, x in zip(cls.tolist(), root.tolist(), ahead.tolist(), strict=True):
-            who, roots, bits = self.leaders[:, : self.lead]
+        for c, g, x in zip(cls.tolist(), grp.tolist(), ahead.tolist(), strict=True):
+            who, groups, bits = self.leaders[:, : self.lead]
             apart = np.bitwise_count(bits ^ x)
             near = np.flatnonzero(apart <= limit)
             chosen = near
             if self.n >= FEW and len(near):
                 first = near[:NEAREST]
                 chosen = first[[apart[first].argmin()]]
-            chosen = chosen[roots[chosen] != r]
-            out += [(int(who[i]), c, int(roots[i]), r) for i in chosen]
+            chosen = chosen[groups[chosen] != g]
+            out += [(int(who[i]), c) for i in chosen]
             if not self.open:
-                _, roots, bits = self.seen[:, : self.n]
-                met = (np.bitwise_count(bits ^ x) <= limit) & (roots != r)
-                if self.n == TILE or met.sum() > len(chosen):
+                _, groups, bits = self.seen[:, : self.kept]
+                other = groups != g
+                met = (np.bitwise_count(bits ^ x) <= limit) & other
+                if met.sum() > len(chosen) or (self.kept == TILE and other.any()):
                     self.open, members, self.held = True, members + self.held, []
-                else:
-                    self.seen[:, self.n] = c, r, x
+                else:  # beyond TILE all are of one group
+                    if self.kept < TILE:
+                        self.seen[:, self.kept] = c, g, x
+                        self.kept += 1
                     self.held.append(c)
-            if self.open:
+            if self.open and self.hand:
                 members.append(c)
             if self.lead < TILE and (self.n < FEW or not len(near)):
-                self.leaders[:, self.lead] = c, r, x
+                self.leaders[:, self.lead] = c, g, x
                 self.lead += 1
             self.n += 1
         return out, members
 
 
-COMPARED = "a long, b long, ra long, rb long, start int, members binary"
+COMPARED = "a long, b long, start int, members binary"
 
 
-def _compared(batches, limit: int):
-    """Pairs of members of each key with different roots, from rows sorted by key.
+def _compared(batches, limit: int, hand: bool):
+    """Pairs of members of each key from different groups, from rows sorted by key.
 
     A row's key has the segment, and below it the bits after it on the ring; a
     pair may differ there in ``limit`` bits.  Small keys are met as arrays,
     others and those at a batch's ends by :class:`_Key`.  Members of an open
     key come together, in a row with the key as ``a``.
     """
-    low, now = (1 << AHEAD) - 1, _Key(-1)
+    low, now = (1 << AHEAD) - 1, _Key(-1, hand)
     for batch in batches:
-        packed, cls, root = (batch.column(c).to_numpy() for c in ("key", "cls", "root"))
+        packed, cls, grp = (batch.column(c).to_numpy() for c in ("key", "cls", "grp"))
         if not len(packed):
             continue
         key, ahead = packed >> AHEAD, packed & low
@@ -304,43 +307,40 @@ def _compared(batches, limit: int):
         single = sizes <= FEW
         single[[0, -1]] = False
         small = np.flatnonzero(single & (sizes > 1))
-        pairs, members = [np.zeros((0, 5), np.int64)], {}
+        pairs, members = [np.zeros((0, 3), np.int64)], {}
         for i in range(FEW):
             for j in range(i):
                 at = starts[small[sizes[small] > i]]
                 x, y = at + j, at + i
-                near = (np.bitwise_count(ahead[y] ^ ahead[x]) <= limit) & (root[x] != root[y])
+                near = (np.bitwise_count(ahead[y] ^ ahead[x]) <= limit) & (grp[x] != grp[y])
                 x, y = x[near], y[near]
-                pairs.append(np.stack([cls[x], cls[y], root[x], root[y], key[x] >> SEGMENT_BITS], 1))
+                pairs.append(np.stack([cls[x], cls[y], key[x] >> SEGMENT_BITS], 1))
         for run in np.flatnonzero(~single):
             part = slice(starts[run], starts[run] + sizes[run])
             if now.key != key[part.start]:
-                now = _Key(int(key[part.start]))
-            found, handed = now.pairs(cls[part], root[part], ahead[part], limit)
+                now = _Key(int(key[part.start]), hand)
+            found, handed = now.pairs(cls[part], grp[part], ahead[part], limit)
             if found:
                 pairs.append(np.array([(*f, now.key >> SEGMENT_BITS) for f in found], np.int64))
             if handed:
                 members[now.key] = np.array(handed, np.int64).tobytes()
         p, n = np.concatenate(pairs), len(members)
         turned = p[:, 0] > p[:, 1]
-        p[turned] = p[turned][:, [1, 0, 3, 2, 4]]
-        none = pa.nulls(n, pa.int64())
-        rest = (pa.concat_arrays([pa.array(p[:, i]), none]) for i in (1, 2, 3))
-        start = np.concatenate([p[:, 4], np.full(n, -1)]).astype(np.int32)
+        p[turned] = p[turned][:, [1, 0, 2]]
+        b = pa.concat_arrays([pa.array(p[:, 1]), pa.nulls(n, pa.int64())])
+        start = np.concatenate([p[:, 2], np.full(n, -1)]).astype(np.int32)
         held = pa.concat_arrays([pa.nulls(len(p), pa.binary()), pa.array(list(members.values()), pa.binary())])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[:, 0], np.array(list(members), np.int64)])), *rest, pa.array(start), held], ["a", "b", "ra", "rb", "start", "members"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[:, 0], np.array(list(members), np.int64)])), b, pa.array(start), held], ["a", "b", "start", "members"])
 
 
-def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, start: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which candidates (rows of bytes, shingle counts) are near, whether surely so, and how similar they look."""
-    low = max(0.05, least - DOUBT)
+def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, start: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which candidates (rows of bytes, shingle counts) may be ``low`` alike, and how similar they look."""
     cosine = np.clip(low / (1 + low) * (n + m) / np.sqrt(n * m), -1, 1)
     allowed = np.arccos(cosine) / np.pi * SEGMENTS * SEGMENT_BITS
     ok = np.flatnonzero(chained(a, b, start, allowed))
     guess = likeness(np.bitwise_count(a[ok] ^ b[ok]).sum(1, dtype=np.int64), n[ok], m[ok])
-    small = np.minimum(n[ok], m[ok]) < SMALL  # few shingles make a rough estimate
-    kept = (guess >= low) | small
-    return ok[kept], ((guess >= least + DOUBT) & ~small)[kept], guess[kept]
+    kept = (guess >= low) | (np.minimum(n[ok], m[ok]) < SMALL)  # few shingles make a rough estimate
+    return ok[kept], guess[kept]
 
 
 def _runs(batches, names: tuple[str, ...]):
@@ -361,81 +361,63 @@ def _runs(batches, names: tuple[str, ...]):
         yield pa.Table.from_batches(held)
 
 
-MET = "key long, a long, b long, ra long, rb long, sure boolean, guess double, more boolean"
-
-
-def _met(batches, limit: int, least: float, most: int | None, step: int = 128):
-    """Near pairs of each tile between different roots, few for any two roots.
+def _tied(batches, least: float, step: int = 1 << 16):
+    """``(a, b)`` links that join what is ``least`` alike within each tile, a forest of them.
 
-    Rows are sorted by tile; all pairs of a tile that are near in the bits ahead
-    are held against their whole fingerprints.  Of two roots' pairs a sure one
-    comes alone, else the ``most`` that look most similar (None: all); ``more``
-    says that some are left.
+    Rows are sorted by tile.  All pairs of a tile with different labels are held
+    against their whole fingerprints; those that may be similar enough, and are
+    not joined by then, are settled by their shingles.
     """
-    for t in _runs(batches, ("key", "x", "y")):
-        key, x, y = (t.column(c)[0].as_py() for c in ("key", "x", "y"))
-        cls, root, n, part = (t.column(c).to_numpy() for c in ("cls", "root", "n", "part"))
-        if (root == root[0]).all():
+    low = max(0.05, least - DOUBT)
+    for t in _runs(batches, ("grp", "x", "y")):
+        x, y = (t.column(c)[0].as_py() for c in ("x", "y"))
+        cls, label, n, part = (t.column(c).to_numpy() for c in ("cls", "label", "n", "part"))
+        left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
+        if not len(left) or not len(right) or (label == label[0]).all():
             continue
         fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint8).reshape(len(cls), -1)
-        start, size = key >> SEGMENT_BITS, SEGMENTS * SEGMENT_BITS
-        bits = np.unpackbits(fps, axis=1, bitorder="little")[:, ((start + 1) * SEGMENT_BITS + np.arange(AHEAD)) % size]
-        ahead = np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.uint32).ravel()
-        left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
-        found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool), np.zeros(0))]
-        for i in range(0, len(left), step):
-            own = left[i : i + step]
-            ok = (np.bitwise_count(ahead[own, None] ^ ahead[None, right]) <= limit) & (root[own, None] != root[None, right])
+        fps = np.pad(fps, ((0, 0), (0, -fps.shape[1] % 8))).view(np.uint64)
+        own, ids = np.unique(np.frombuffer(b"".join(t.column("h").to_pylist()), np.uint64), return_inverse=True)
+        marked, ids, size = np.zeros(len(own), np.int64), np.split(ids, np.cumsum(n)[:-1]), n.astype(float)
+        tie, found = np.arange(len(cls)), []
+        each = max(1, step // len(right))
+        for i in range(0, len(left), each):
+            rows = left[i : i + each]
+            differing = np.bitwise_count(fps[rows, None] ^ fps[None, right]).sum(2, dtype=np.int64)
+            guess = likeness(differing, size[rows, None], size[None, right])
+            ok = ((guess >= low) | (np.minimum(n[rows, None], n[None, right]) < SMALL)) & (label[rows, None] != label[None, right])
             if x == y:
-                ok &= own[:, None] < right[None, :]
-            r, c = np.nonzero(ok)
-            for j in range(0, len(r), 1 << 13):
-                p, q = own[r[j : j + (1 << 13)]], right[c[j : j + (1 << 13)]]
-                kept, sure, guess = _near(fps[p], fps[q], n[p].astype(float), n[q].astype(float), np.full(len(p), start), least)
-                found.append((p[kept], q[kept], sure, guess))
-        u, v, sure, guess = map(np.concatenate, zip(*found, strict=True))
-        if not len(u):
-            continue
-        lo, hi = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
-        order = np.lexsort((-guess, ~sure, hi, lo))
-        u, v, sure, guess, lo, hi = (z[order] for z in (u, v, sure, guess, lo, hi))
-        first = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-        count = np.diff(np.append(first, len(u)))
-        rank = np.arange(len(u)) - np.repeat(first, count)
-        allowed = len(u) if most is None else most
-        kept = rank < np.repeat(np.where(sure[first], 1, allowed), count)
-        more = np.repeat(~sure[first] & (count > allowed), count)
-        u, v, sure, guess, more = (z[kept] for z in (u, v, sure, guess, more))
-        swap = cls[u] > cls[v]
-        u, v = np.where(swap, v, u), np.where(swap, u, v)
-        yield pa.RecordBatch.from_arrays([pa.array(z) for z in (np.full(len(u), key), cls[u], cls[v], root[u], root[v], sure, guess, more)], [c.split()[0] for c in MET.split(", ")])
-
-
-def _crowds(members: DataFrame, rooted: DataFrame, classes: DataFrame, limit: int, least: float, most: int | None) -> DataFrame:
-    """:func:`_met` of ``members (cls, key)`` of open keys, with their roots as they are now.
-
-    Every pair of members that is near in the bits ahead is looked at, unless
-    its ends are already linked.  A key's members are dealt over tiles of about
-    ``TILE`` by hash and each two tiles meet in one place, so that no key is
-    bound to one task.
+                ok &= rows[:, None] < right[None, :]
+            for r in np.flatnonzero(ok.any(1)):
+                p, q = rows[r], right[ok[r]]
+                q = q[tie[q] != tie[p]]
+                if not len(q):
+                    continue
+                marked[ids[p]] = 1
+                both = np.add.reduceat(marked[np.concatenate([ids[j] for j in q])], np.cumsum(n[q]) - n[q])
+                marked[ids[p]] = 0
+                for j in q[both >= least * (n[p] + n[q] - both)]:
+                    if tie[j] != tie[p]:
+                        tie[tie == tie[j]] = tie[p]
+                        found.append((cls[p], cls[j]))
+        if found:
+            a, b = np.array(found, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _tiled(members: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """:func:`_tied` of ``members (grp, cls, label, n, fp, h)``, of which ``sizes (grp, label, n)`` are some columns.
+
+    Every pair of a group meets once.  Members are dealt over tiles by hash and
+    each two tiles meet in one place, so that no group is bound to one task.
     """
-    held = written(members.join(rooted.select("cls", "root"), "cls"), "wide-members")
-    mixed = held.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    mixed = written(mixed.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("parts")), "wide-crowds")
-    dealt = held.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("cls", "key"), F.col("parts")).cast("int"))
-    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cls", "root", "key", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
-    whole = tiles.join(classes.select("cls", "n", "fp"), "cls").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return whole.mapInArrow(lambda batches: _met(batches, limit, least, most), MET)
-
-
-def _chosen(doubtful: DataFrame, most: int | None) -> DataFrame:
-    """``(a, b, ra, rb)``: of ``doubtful`` the ``most`` that look most similar between any two roots (None: all)."""
-    lo, hi = F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi")
-    pairs = doubtful.groupBy("a", "b", lo, hi).agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"), F.max("guess").alias("guess"))
-    if most is not None:
-        rank = F.row_number().over(Window.partitionBy("lo", "hi").orderBy(F.desc("guess"), "a", "b"))
-        pairs = pairs.withColumn("rank", rank).where(F.col("rank") <= most)
-    return pairs.select("a", "b", "ra", "rb")
+    parts = F.greatest(F.least(F.ceil(F.col("size") / TILE), F.lit(COPIES)), F.ceil(F.col("total") / HELD)).cast("int")
+    mixed = sizes.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    mixed = written(mixed.select("grp", parts.alias("parts")), "wide-groups")
+    dealt = members.join(mixed, "grp").withColumn("part", F.pmod(F.xxhash64("cls", "grp"), F.col("parts")).cast("int"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = tiles.select("grp", "cls", "label", "n", "fp", "h", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+    return tiles.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y").mapInArrow(lambda batches: _tied(batches, least), "a long, b long")
 
 
 def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -443,15 +425,16 @@ def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col:
 
     Texts with equal sets of shingles are one class.  Classes that share one of the
     96 segments of 19 bits, and are near in the 32 bits after it, are
-    candidates.  Up to six under a key are all compared, later ones at first
-    with the nearest that leads; where that passes over a near pair, all pairs
-    under the key that are not linked by then are compared as well.  Between
-    two groups of linked texts the most similar candidate is settled first,
-    then 16, then all of them, as long as none has linked the two.  The first 32
-    segments come first, so that what they link needn't meet in others.  Candidates
-    pass the pigeonring test, then the full distance, from which the similarity
-    is estimated; where the estimate is near the limit, or a text has few
-    shingles, the shingles themselves decide.  Texts with too few shingles to
+    candidates; they pass the pigeonring test, then the full distance, from
+    which the similarity is estimated.  Candidates of the first 32 segments that
+    look at all alike come into one group, and all pairs of a group are met,
+    wherever their segments differ.  Then candidates of different groups meet under all
+    96 segments: up to six under a key are all compared, later ones with the
+    nearest that leads; where that passes over a near pair of different groups,
+    all pairs under the key are met as well.  So a member is moved a bounded
+    number of times, and nothing is left out of what candidates are.
+    Whatever the estimate leaves open the shingles decide.
+    Texts with too few shingles to
     be that similar to any other set need no candidates.  At a similarity of
     0.8 a pair is a candidate with probability 0.986, at 0.85 with 0.999.
     Over some five million different texts, wider
@@ -474,15 +457,9 @@ def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col:
     firsts = written(firsts, "wide-firsts")
     classes = written(prints.join(firsts.select("row"), "row", "left_semi").select("cls", "row", "n", "fp"), "wide-classes")
 
-    def near(batch):
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
-        n, m = (batch.column(c).to_numpy().astype(float) for c in ("n", "m"))
-        ok, sure, guess = _near(a, b, n, m, batch.column("start").to_numpy(), least)
-        return {c: batch.column(c).take(pa.array(ok)) for c in ("a", "b", "ra", "rb")} | {"sure": pa.array(sure), "guess": pa.array(guess)}
-
     def handed(batch):
         each = [np.frombuffer(m, np.int64) for m in batch.column("members").to_pylist()]
-        return {"cls": pa.array(np.concatenate(each)), "key": pa.array(np.repeat(batch.column("a").to_numpy(), [len(m) for m in each]))}
+        return {"grp": pa.array(np.repeat(batch.column("a").to_numpy(), [len(m) for m in each])), "cls": pa.array(np.concatenate(each))}
 
     def shingles(batch):
         return {"cls": batch.column("cls"), "h": pa.array([shingle_hashes(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())}
@@ -495,75 +472,71 @@ def similar(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col:
             if both >= least * (len(a) + len(b) - both):
                 kept.append(i)
         at = pa.array(kept, pa.int64())
-        return {"a": batch.column("ra").take(at), "b": batch.column("rb").take(at)}
-
-    def settled(doubtful):
-        """Links of the roots of ``doubtful (a, b, ra, rb)`` that the shingles confirm."""
-        asked = written(doubtful.select(F.col("a").alias("cls")).union(doubtful.select("b")).distinct().join(classes.select("cls", "row"), "cls"), "wide-asked")
-        held = written(arrow_map(src.select("row", "text").join(asked, "row").select("cls", "text"), shingles, "cls long, h binary"), "wide-shingles")
-        both = doubtful.join(held.select(F.col("cls").alias("a"), F.col("h").alias("x")), "a").join(held.select(F.col("cls").alias("b"), F.col("h").alias("y")), "b")
-        return arrow_map(both.select("ra", "rb", "x", "y"), exact, "a long, b long")
-
-    def joined(rooted, links):
-        """``rooted`` after ``links (a, b)`` of its roots, and where those roots went."""
-        found = components(links).withColumnRenamed("root", "top")
-        now = rooted.join(found, F.col("root") == F.col("node"), "left").select("cls", "first", F.coalesce("top", "root").alias("root"))
-        return written(now, "wide-rooted"), found
-
-    def apart(close, found):
-        """``close`` with the roots as they are now, without what has become one."""
-        for end in ("ra", "rb"):
-            close = close.join(found.select(F.col("node").alias(end), F.col("top").alias(f"{end}_top")), end, "left").withColumn(end, F.coalesce(f"{end}_top", end)).drop(f"{end}_top")
-        return close.where("ra <> rb")
-
-    def linked(rooted, close, most):
-        """``rooted`` after the links of ``close (a, b, ra, rb, sure, guess)``, and where roots went.
-
-        The sure links come first, then what the shingles say of the others.
-        """
-        moves = []
-        sure = close.where("sure").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        if not sure.isEmpty():
-            rooted, found = joined(rooted, sure)
-            moves.append(found)
-        doubtful = written(_chosen(reduce(apart, moves, close.where("not sure")), most), "wide-doubtful")
-        if not doubtful.isEmpty():
-            rooted, found = joined(rooted, settled(doubtful))
-            moves.append(found)
-        return rooted, moves
+        return {c: batch.column(c).take(at) for c in ("a", "b")}
+
+    def shingled(asked):
+        """``(cls, h)``: the shingles of the classes ``asked (cls)``."""
+        rows = written(asked.distinct().join(classes.select("cls", "row"), "cls"), "wide-asked")
+        return written(arrow_map(src.select("row", "text").join(rows, "row").select("cls", "text"), shingles, "cls long, h binary"), "wide-shingles")
+
+    def candidates(grouped, segments, hand):
+        """``(a, b, start, members)``: see :func:`_compared`, of ``grouped (cls, grp, fp)``."""
+
+        def keys_of(batches, step=1024):
+            for batch in batches:
+                for i in range(0, batch.num_rows, step):
+                    part = batch.slice(i, step)
+                    fps = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                    cls, grp = (pa.array(np.repeat(part.column(c).to_numpy(), len(segments))) for c in ("cls", "grp"))
+                    yield pa.RecordBatch.from_arrays([cls, grp, pa.array(segment_keys(fps, segments).ravel())], ["cls", "grp", "key"])
+
+        keys = grouped.select("cls", "grp", "fp").mapInArrow(keys_of, "cls long, grp long, key long")
+        # members of a key stand together; classes are hashes, so in a random order that is the same for all keys
+        key = F.shiftright("key", AHEAD)
+        dealt = keys.repartition(key).sortWithinPartitions(key, "cls").select("key", "cls", "grp")
+        return written(dealt.mapInArrow(lambda batches: _compared(batches, limit, hand), COMPARED), "wide-met-keys")
+
+    def close(met, low):
+        """``(a, b, guess)``: the pairs of ``met`` that may be ``low`` alike."""
+
+        def near(batch):
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            n, m = (batch.column(c).to_numpy().astype(float) for c in ("n", "m"))
+            ok, guess = _near(a, b, n, m, batch.column("start").to_numpy(), low)
+            return {c: batch.column(c).take(pa.array(ok)) for c in ("a", "b")} | {"guess": pa.array(guess)}
+
+        pairs = met.where("members is null").groupBy("a", "b").agg(F.min("start").alias("start"))
+        left = classes.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("fp").alias("x"))
+        right = classes.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("fp").alias("y"))
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "start", "n", "m", "x", "y")
+        return arrow_map(both, near, "a long, b long, guess double")
 
     fewest = max(1, math.ceil(least / (1 - least) - 1e-9)) if least < 1 else math.inf  # n of n + 1 shingles
     share = np.arccos(2 * least / (1 + least)) / np.pi
     limit = int(AHEAD * share + 2.5 * np.sqrt(AHEAD * share * (1 - share)))
-    left = classes.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("fp").alias("x"))
-    right = classes.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("fp").alias("y"))
-    rooted = firsts.select("cls", "first", F.col("cls").alias("root"))
-    for segments, rounds in PASSES:
-
-        def keys_of(batch, segments=segments):
-            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            many = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), len(segments)))
-            return {"cls": many("cls"), "root": many("root"), "key": pa.array(segment_keys(fps, segments).ravel())}
-
-        known = classes.where(F.col("n") >= float(fewest)).select("cls", "fp").join(rooted.select("cls", "root"), "cls")
-        keys = arrow_map(known.select("cls", "root", "fp"), keys_of, "cls long, root long, key long")
-        # members of a key stand together; classes are hashes, so in a random order that is the same for all keys
-        key = F.shiftright("key", AHEAD)
-        dealt = keys.repartition(key).sortWithinPartitions(key, "cls").select("key", "cls", "root")
-        met = written(dealt.mapInArrow(lambda batches: _compared(batches, limit), COMPARED), "wide-met-keys")
-        pairs = met.where("members is null").groupBy("a", "b").agg(F.min("start").alias("start"), F.first("ra").alias("ra"), F.first("rb").alias("rb")).select("a", "b", "ra", "rb", "start")
-        close = arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "start", "n", "m", "x", "y"), near, "a long, b long, ra long, rb long, sure boolean, guess double")
-        rooted, _ = linked(rooted, written(close, "wide-close"), None)
-
-        members = arrow_map(met.where("members is not null").select("a", "members"), handed, "cls long, key long")
-        for most in rounds:
-            if members.isEmpty():
-                break
-            crowds = written(_crowds(members, rooted, classes, limit, least, most), "wide-met")
-            rooted, moves = linked(rooted, crowds, most)
-            # keys where two roots have more candidates, and are not one by now
-            open_keys = reduce(apart, moves, crowds.where("more").select("key", "ra", "rb").distinct()).select("key").distinct()
-            members = written(members.join(open_keys, "key", "left_semi"), "wide-left")
+    known = classes.where(F.col("n") >= float(fewest))
+
+    # groups of what looks at all alike, in which all pairs meet
+    met = candidates(known.withColumn("grp", F.col("cls")), range(FIRST), False)
+    loose = min(LOOSE, least)
+    groups = components(close(met, loose).where(F.col("guess") >= loose).select("a", "b")).select(F.col("node").alias("cls"), F.col("root").alias("grp"))
+    within = groups.withColumn("label", F.col("cls")).join(classes.select("cls", "n", "fp"), "cls")
+    links = written(_tiled(within.join(shingled(groups.select("cls")), "cls"), within, least), "wide-links")
+
+    # candidates of different groups, and the members of keys where some were passed over
+    grouped = written(known.join(groups, "cls", "left").withColumn("grp", F.coalesce("grp", "cls")), "wide-grouped")
+    met = candidates(grouped, range(SEGMENTS), True)
+    pairs = written(close(met, max(0.05, least - DOUBT)), "wide-close")
+    members = written(arrow_map(met.where("members is not null").select("a", "members"), handed, "grp long, cls long"), "wide-members")
+    held = shingled(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(members.select("cls")))
+    doubtful = pairs.join(held.select(F.col("cls").alias("a"), F.col("h").alias("x")), "a").join(held.select(F.col("cls").alias("b"), F.col("h").alias("y")), "b")
+    links = links.union(arrow_map(doubtful.select("a", "b", "x", "y"), exact, "a long, b long"))
+    if not members.isEmpty():
+        across = members.join(grouped.select("cls", F.col("grp").alias("label"), "n", "fp"), "cls")
+        links = links.union(_tiled(across.join(held, "cls"), across, least))
+
+    found = components(links)
+    rooted = written(firsts.join(found, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root")), "wide-rooted")
     names = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "wide-names")
     named = written(rooted.join(names, "root").select("cls", "component_id"), "wide-named")
     return prints.select("doc_id", "cls").join(named, "cls", "left").select("doc_id", "cls", "component_id")

@@ -178,6 +178,26 @@ def test_no_links_are_lost_in_clusters(spark, groups, copies, replaced):
     assert wrong == 0 and split <= 0.01 * len(pairs), (split, len(pairs), len(set(got.values())), len(set(want)))
 
 
+def bridges(groups, members, replaced, seed=9, words=300):
+    """Pairs of families of near copies, of which only the two first texts are similar across."""
+    rng = random.Random(seed)
+    texts = []
+    for g in range(groups):
+        left = [f"g{g}w{rng.randrange(10**6)}" for _ in range(words)]
+        for core in (left, [*(f"n{rng.random()}" for _ in range(replaced)), *left[replaced:]]):
+            texts.append(" ".join(core))
+            for at in rng.sample(range(replaced + 10, words - 10), members):
+                texts.append(" ".join([*core[:at], f"n{rng.random()}", *core[at + 1 :]]))
+    return texts
+
+
+def test_one_link_among_many_that_look_alike(spark):
+    texts = bridges(20, 40, 32)
+    want = roots(len(texts), similar_pairs(texts))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (None, None), (5, "a b c d"), (5, "a b c d"), (2, None)], "doc_id long, text string")
     rows = simhash.near_duplicates(docs).collect()
