@@ -178,6 +178,21 @@ def test_no_links_are_lost_in_clusters(spark, groups, copies, replaced):
     assert wrong == 0 and split <= 0.01 * len(pairs), (split, len(pairs), len(set(got.values())), len(set(want)))
 
 
+def test_near_copies_move_few_rows(spark, monkeypatch):
+    """Members handed on for a second meeting don't multiply with the keys of a large group."""
+    texts = clusters(1, 400, 34)  # alike, but few of them similar enough
+    rows, plain = {}, simhash.written
+
+    def counted(df, label):
+        out = plain(df, label)
+        rows[label] = rows.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert rows["wide-members"] <= 2 * len(texts), rows
+
+
 def bridges(groups, members, replaced, seed=9, words=300):
     """Pairs of families of near copies, of which only the two first texts are similar across."""
     rng = random.Random(seed)
