@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map, keyed, texts
+from quillspark.llm.common import arrow_map, keyed, texts, written
 
 NAMES = ("length", "words", "word_length", "distinct_words", "commonest_word", "repeated_words", "distinct_pairs", "repeated_lines", "upper", "symbols", "bars", "digits", "stops", "short_words", "line_words")
 SYMBOLS = b"#$%&*!@~^=+<>{}[]\\/_"
@@ -177,13 +177,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int = 50
     """Fit on about ``max_rows`` labelled documents, those with the smallest id hashes.
 
     Being that few narrow rows, their labels are broadcast, and only their
-    texts are looked at.  Labels other than 0 and 1, and null ids, are left out.
+    texts are looked at; their statistics are written.  Labels other than 0 and
+    1, and null ids, are left out.
     """
     known = keyed(labels, doc_id=id_col, label=label_col).where("doc_id is not null and label in (0, 1)").distinct()
     share = min(1.0, max_rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts_of = keyed(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    return fit(labelled(features(texts_of), F.broadcast(chosen), "label"))
+    feats = written(features(texts_of), "train-statistics")  # a task with two Python maps would take two workers, which stay
+    return fit(labelled(feats, F.broadcast(chosen), "label"))
 
 
 def keep(df: DataFrame, model: Discriminant, threshold: float, text_col: str = "text") -> DataFrame:

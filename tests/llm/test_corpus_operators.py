@@ -345,6 +345,17 @@ def test_quality_of_odd_rows(spark):
     assert quality.score(feats.limit(0), model).count() == 0
 
 
+def test_training_runs_one_python_map_a_task(spark, monkeypatch):
+    """A second one in the same task would take a second worker, which stays and fills its caches too."""
+    docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    plans, moments = [], quality.moments
+    monkeypatch.setattr(quality, "moments", lambda rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or moments(rows))
+    model = quality.train(docs, labels, "quality")
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
+    whole = quality.fit(quality.labelled(quality.features(docs), labels, "quality"))
+    assert np.allclose(model.means, whole.means) and np.allclose(model.factors, whole.factors) and np.allclose(model.offsets, whole.offsets)
+
+
 def test_discriminant_equals_densities():
     rng = np.random.default_rng(0)
     m = quality.Discriminant(np.zeros(2), np.ones(2), np.array([[0.0, 0], [1, 1]]), np.array([np.linalg.inv(np.linalg.cholesky(c)) for c in (np.eye(2), np.array([[2.0, 0.5], [0.5, 1]]))]), np.array([-0.1, -0.4]))
